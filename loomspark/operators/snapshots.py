@@ -22,25 +22,24 @@ def normal_path(path: Column | str) -> Column:
     return F.regexp_replace(slashes, r"^(\./)+", "")
 
 
-def file_states(df: DataFrame) -> DataFrame:
-    """(group, snapshot, path, hash, size, mtime) from file lists: of a file's rows the latest delivery counts.
+def file_lists(df: DataFrame) -> DataFrame:
+    """(group, snapshot, path, at, hash, size, mtime) from delivered file lists.
 
-    Deliveries of the same time are ordered by their values, so the choice is repeatable. Hashes are
-    compared in lower case; an empty hash is a missing one. Rows without group, snapshot or path are left out.
+    Hashes are compared in lower case and kept as bytes; an empty hash is a missing one. Rows without
+    group, snapshot or path are left out.
     """
     known = F.nullif(F.lower(F.trim("content_hash")), F.lit(""))
-    state = F.struct("delivered_at", known.alias("hash"), "size", "mtime")
-    rows = df.select(F.col("codebase_id").alias("group"), F.col("snapshot_no").alias("snapshot"), normal_path("relative_path").alias("path"), state.alias("state"))
-    last = rows.filter("group IS NOT NULL AND snapshot IS NOT NULL AND path IS NOT NULL").groupBy("group", "snapshot", "path").agg(F.max("state").alias("state"))
-    return last.select("group", "snapshot", "path", "state.hash", "state.size", "state.mtime")
+    packed = F.coalesce(F.concat(F.unhex(F.lit("00")), F.unhex(known)), F.concat(F.unhex(F.lit("01")), F.encode(known, "UTF-8")))
+    rows = df.select(F.col("codebase_id").alias("group"), F.col("snapshot_no").alias("snapshot"), normal_path("relative_path").alias("path"), F.col("delivered_at").alias("at"), packed.alias("hash"), "size", "mtime")
+    return rows.filter("group IS NOT NULL AND snapshot IS NOT NULL AND path IS NOT NULL")
 
 
-def _digests(states: DataFrame, bits: int) -> DataFrame:
+def _digests(states: DataFrame) -> DataFrame:
     """(group, snapshot, leaf, a, b, n): sums of two row hashes and the number of rows of each leaf range."""
     row = F.xxhash64("path", "hash", "size", "mtime")
     other = F.xxhash64(F.lit(31), "mtime", "size", "hash", "path")
     narrow = lambda h: F.shiftrightunsigned(h, 24)  # noqa: E731  40 bits, so that sums of 8 million rows fit
-    return states.groupBy(*KEY, _leaf(bits).alias("leaf")).agg(F.sum(narrow(row)).alias("a"), F.sum(narrow(other)).alias("b"), F.count(F.lit(1)).alias("n"))
+    return states.groupBy(*KEY, "leaf").agg(F.sum(narrow(row)).alias("a"), F.sum(narrow(other)).alias("b"), F.count(F.lit(1)).alias("n"))
 
 
 def _leaf(bits: int) -> Column:
@@ -77,26 +76,31 @@ def _differing(steps: DataFrame, digests: DataFrame, bits: int) -> DataFrame:
     return nodes.withColumnRenamed("node", "leaf")
 
 
-def snapshot_changes(states: DataFrame, leaf_rows: int = LEAF_ROWS) -> DataFrame:
+def snapshot_changes(lists: DataFrame, leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """(group, path, snapshot, change): what was added, removed or changed since the group's snapshot before.
 
-    `states` is as of file_states. A group without any row in a snapshot wasn't delivered then; its first
-    snapshot gives nothing. Changed: both hashes are known and differ, or one is missing and size or mtime
-    differs (null differs from any value). Each (group, snapshot) has a Merkle tree over ranges of the
-    paths' hashes, as deep as the largest of them needs; digests are sums, so they combine before the
-    shuffle and a large group is spread over its ranges. Only rows of differing ranges are compared.
-    An empty table gives an empty result.
+    `lists` is as of file_lists. Of several rows of a file in a snapshot the latest delivery counts; of
+    deliveries of the same time the largest values, so the choice is repeatable. A group without any row
+    in a snapshot wasn't delivered then; its first snapshot gives nothing. Changed: both hashes are known
+    and differ, or one is missing and size or mtime differs (null differs from any value). Each (group,
+    snapshot) has a Merkle tree over ranges of the paths' hashes, as deep as the largest of them needs.
+    Rows are shuffled once, by group, snapshot and leaf range, which spreads a large group and serves
+    de-duplication, digests and the comparison alike; beyond that only digests move, and the rows of
+    differing ranges. An empty table gives an empty result.
     """
-    largest = states.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    largest = lists.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     levels = 0
     while levels < MOST_LEVELS and leaf_rows << (FAN_BITS * levels) < largest:
         levels += 1
     bits = FAN_BITS * levels
-    digests = _digests(states, bits)
+    routed = lists.withColumn("leaf", _leaf(bits)).repartition(*KEY, "leaf")
+    last = routed.groupBy(*KEY, "leaf", "path").agg(F.max(F.struct("at", "hash", "size", "mtime")).alias("s"))
+    states = last.select(*KEY, "leaf", "path", "s.hash", "s.size", "s.mtime")
+    digests = _digests(states)
     steps = _steps(digests)
     leaves = _differing(steps, digests, bits)
     wanted = leaves.join(steps, KEY).select("group", F.col("match").alias("snapshot"), "leaf", F.col("snapshot").alias("target"), "sign")
-    rows = states.withColumn("leaf", _leaf(bits)).join(wanted, [*KEY, "leaf"])
+    rows = states.join(wanted, [*KEY, "leaf"])
     state = F.struct("hash", "size", "mtime")
     both = rows.groupBy("group", "target", "path").agg(F.max(F.when(F.col("sign") == 1, state)).alias("new"), F.max(F.when(F.col("sign") == -1, state)).alias("old"))
     same = F.when(F.col("new.hash").isNotNull() & F.col("old.hash").isNotNull(), F.col("new.hash") == F.col("old.hash")).otherwise(

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.operators.intervals import periods_and_gaps
-from loomspark.operators.snapshots import file_states, snapshot_changes
+from loomspark.operators.snapshots import file_lists, snapshot_changes
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
-    changes = snapshot_changes(file_states(spark.read.parquet(f"{sf}/file_snapshots.parquet")))
+    changes = snapshot_changes(file_lists(spark.read.parquet(f"{sf}/file_snapshots.parquet")))
     return changes.select(F.col("group").alias("codebase_id"), F.col("path").alias("relative_path"), F.col("snapshot").alias("snapshot_no"), "change")
 
 
