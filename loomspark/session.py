@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,6 +42,20 @@ def shared_dir(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="loomspark-")
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Makes this package importable in the Python workers of the session, once per session.
+
+    Executors get it as an archive from the driver, so they need neither a copy nor a search path.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_loomspark_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="loomspark-"), "loomspark_package")
+    sc.addPyFile(shutil.make_archive(target, "zip", os.path.dirname(here), os.path.basename(here)))
+    sc._loomspark_shipped = True
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """`df` written to the shared folder and read from there: reliable, so a lost executor costs nothing."""
     spark = df.sparkSession
