@@ -7,10 +7,13 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The patterns that define identifiers, their parts, and literal query words.
-IDENTIFIER = r"[a-zA-Z_][a-zA-Z0-9_]*"
-IDENTIFIER_PART = r"[A-Z]?[a-z]+|[A-Z]+(?=[A-Z]|$)"
+# The parts of identifiers (a word with at most one leading capital; capitals before another one
+# or before the end of the identifier), and literal query words. Any ASCII letter belongs to an identifier.
+WORD_PART = r"[A-Z]?[a-z]+"
+CAPITALS_PART = r"[A-Z]+(?=[A-Z]|[^a-zA-Z0-9_]|\z)"
 LITERAL_WORD = r"[A-Za-z0-9_]+"
+#: A whole identifier without such parts: each of its capitals stands before a digit or an underscore.
+PARTLESS = r"(?=[A-Z_])(?<![a-zA-Z_])(?<![a-zA-Z_][0-9]{1,200})(?:[A-Z](?=[0-9_])|[0-9_])+(?![a-zA-Z0-9_])"
 
 # English words with little meaning for search.
 STOP_TOKENS = frozenset(
@@ -31,26 +34,22 @@ def _col(c: Column | str) -> Column:
 
 
 def tokens(text: Column | str, min_length: int = 2, stop: Iterable[str] | None = None) -> Column:
-    """The search tokens of a text, in order and with repeats.
+    """The search tokens of a text, in order and with repeats, by one pass of one pattern over the text.
 
     Identifiers are cut at letter-case changes, or at underscores if they have no such part; parts come
     out in lower case if they have `min_length` characters, aren't in `stop` and aren't a number.
     Null gives an empty array.
     """
-    found = F.regexp_extract_all(F.coalesce(_col(text), F.lit("")), F.lit(IDENTIFIER), F.lit(0))
-
-    def parts(word: Column) -> Column:
-        cut = F.regexp_extract_all(word, F.lit(IDENTIFIER_PART), F.lit(0))
-        return F.when(F.size(cut) > 0, cut).otherwise(F.split(word, "_"))
-
-    lowered = F.transform(F.flatten(F.transform(found, parts)), F.lower)
+    found = F.regexp_extract_all(F.coalesce(_col(text), F.lit("")), F.lit(f"{WORD_PART}|{CAPITALS_PART}|{PARTLESS}"), F.lit(0))
+    # Only identifiers without parts hold underscores or numbers; joining and splitting once cuts all of them.
+    joined = F.regexp_replace(F.lower(F.array_join(found, "_")), "(?<=^|_)[0-9]+(?=_|$)", "")
     banned = sorted(stop) if stop else []
 
     def kept(t: Column) -> Column:
-        cond = (F.length(t) >= min_length) & ~t.rlike("^[0-9]+$") & (t != "")
+        cond = F.length(t) >= max(1, min_length)
         return cond & ~t.isin(banned) if banned else cond
 
-    return F.filter(lowered, kept)
+    return F.filter(F.split(joined, "_"), kept)
 
 
 def literal_tokens(text: Column | str) -> Column:

@@ -35,9 +35,9 @@ def empty(spark) -> State:
 
 
 def corpus_frequencies(docs: DataFrame, codebase: str = "source", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(codebase_id, token, doc_freq): in how many documents of each corpus a token occurs."""
-    each = docs.select(F.col(codebase).alias("codebase_id"), F.col(doc_id).alias("doc_id"), F.explode(F.array_distinct(tokens(text))).alias("token"))
-    return each.groupBy("codebase_id", "token").agg(F.count_distinct("doc_id").alias("doc_freq"))
+    """(codebase_id, token, doc_freq): in how many documents of each corpus a token occurs; a repeated row is a document of its own."""
+    each = docs.select(F.col(codebase).alias("codebase_id"), F.explode(F.array_distinct(tokens(text))).alias("token"))
+    return each.groupBy("codebase_id", "token").agg(F.count(F.lit(1)).alias("doc_freq"))
 
 
 def corpus_sizes(docs: DataFrame, codebase: str = "source") -> DataFrame:

@@ -13,7 +13,8 @@ from loomspark.operators.fuzzy import nearest_tokens
 from loomspark.operators.lexical import lexical_rank
 from loomspark.operators.scoring import dense_top_k_many, sparse_top_k
 from loomspark.operators.search import grouped_search, hybrid_search
-from loomspark.operators.tfidf import TfidfModel, doc_frequencies, tokenized
+from loomspark.operators.tfidf import TfidfModel
+from loomspark.session import spread
 
 #: Sources whose documents take the part of one corpus in the transitions.
 QUERY_IDS = (1, 7, 23)
@@ -24,7 +25,7 @@ def _read(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def docs(spark: SparkSession, sf: str) -> DataFrame:
-    return _read(spark, sf, "documents").select("doc_id", "text", "lang", "source", "doc_type", "path")
+    return spread(_read(spark, sf, "documents").select("doc_id", "text", "lang", "source", "doc_type", "path"))
 
 
 def _q6(c: str):

@@ -56,6 +56,16 @@ def ship_package(spark: SparkSession) -> None:
     sc._loomspark_shipped = True
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan of files with at least one partition per core; one that has them is left as it is.
+
+    Only for plain scans before costly work per row: a small table in one file would be one task. The
+    partitions of a scan are known from its files, so nothing runs to count them.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """`df` written to the shared folder and read from there: reliable, so a lost executor costs nothing."""
     spark = df.sparkSession
