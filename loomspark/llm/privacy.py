@@ -69,7 +69,7 @@ _ADDRESS = re.compile(
     rf"(?<!\w)(?:"
     rf"\d{{1,5}} ?[a-zA-Z]?,? (?:{_W} ){{1,3}}(?:Street|St\.|St\b|Road|Rd\.|Lane|Court|Ct\.|Avenue|Ave\.|Ave\b|Crescent|Drive|Terrace|Square|Boulevard|Blvd\.)(?:,? (?:Apt|Apartment|Flat|Unit|Suite|No)\.? ?\w+)?"
     rf"|\d{{1,4}}(?: ?(?:bis|ter|quater|[a-z]))?,? (?:rue|avenue|boulevard|place|chemin|allée|impasse|quai)(?: (?:de la|de l['’]|du|des|de|d['’]))? ?{_W}(?: {_W})*"
-    rf"|(?:Calle|Avenida|Avda\.|Plaza|Paseo|Camino)(?: (?:de la|de los|de las|del|de))? {_W}(?: {_W})*,? (?:n\.?º ?)?\d{{1,4}} ?[a-z]?\b(?:,? \d{{1,2}} ?[ºª°](?: ?[A-Z]\b)?)?"
+    rf"|(?:Calle|Avenida|Avda\.|Plaza|Paseo|Camino)(?: (?:de la|de los|de las|del|de))? {_W}(?: {_W})*,? (?:n\.?º ?)?\d{{1,4}}(?: ?[a-z]\b)?(?:,? \d{{1,2}} ?[ºª°](?: ?[A-Z]\b)?)?"
     rf"|(?:(?:Am|An der|An dem|Im|In der|Zum|Zur|Auf der|Auf dem) )?{_W}(?:straße|strasse|str\.|weg|platz|gasse|allee|ring|damm|ufer| Straße| Weg| Platz| Allee) \d{{1,4}}(?: ?[a-z]\b)?"
     rf")",
 )
