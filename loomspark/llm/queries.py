@@ -8,12 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.llm import canonical, distinctive, frequency, leakage, packing, privacy, ranking, splitting, tokens, usable
+from loomspark.session import spread
 
 
 def _read(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def _documents(spark: SparkSession, sf: str) -> DataFrame:
+    return spread(_read(spark, sf, "documents").select("doc_id", "text"))
+
+
 def _texts(spark: SparkSession, sf: str) -> DataFrame:
     return splitting.texts_with_origin(_read(spark, sf, "code_chunks"), _read(spark, sf, "embedding_spans"))
 
@@ -68,27 +73,27 @@ def p6_ranking(spark: SparkSession, sf: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     points = ranking.current_scores(_read(spark, sf, "search_results"))
-    return ranking.clear_leaders(ranking.ranked(ranking.ideal_point_closeness(points)))
+    return ranking.clear_leaders(ranking.ideal_point_closeness(points))
 
 
 def p8_packed(spark: SparkSession, sf: str) -> DataFrame:
-    return packing.pack_documents(tokens.token_counts(_read(spark, sf, "documents"), "doc_id", "text"))
+    return packing.pack_documents(tokens.token_counts(_documents(spark, sf), "doc_id", "text"))
 
 
 def p9_leaks(spark: SparkSession, sf: str) -> DataFrame:
-    return leakage.leaked_items(_read(spark, sf, "documents"), _read(spark, sf, "heldout_items"))
+    return leakage.leaked_items(_documents(spark, sf), _read(spark, sf, "heldout_items"))
 
 
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
-    return leakage.leaked_word_for_word(_read(spark, sf, "documents"), _read(spark, sf, "heldout_items"))
+    return leakage.leaked_word_for_word(_documents(spark, sf), _read(spark, sf, "heldout_items"))
 
 
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
-    return privacy.personal_information(_read(spark, sf, "documents")).select("doc_id", "kind", "start_pos")
+    return privacy.personal_information(_documents(spark, sf)).select("doc_id", "kind", "start_pos")
 
 
 def p10_redacted(spark: SparkSession, sf: str) -> DataFrame:
-    return privacy.redacted(_read(spark, sf, "documents"))
+    return privacy.redacted(_documents(spark, sf))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

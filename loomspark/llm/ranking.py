@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -16,6 +18,8 @@ SCORERS = ("dense", "sparse", "lexical", "rerank")
 RANGES = 1024
 #: A task looks for leaders among at most about so many points at once.
 BLOCK = 50_000
+#: So many of the first points of the ranking are tried against all others before anything else.
+PIVOTS = 8
 
 
 def current_scores(df: DataFrame, scorers: tuple[str, ...] = SCORERS) -> DataFrame:
@@ -95,40 +99,95 @@ def _reduce(scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     leader, edge = np.ones(n, bool), np.zeros(n, bool)
     for i in range(k):
         for j in range(i + 1, k):
-            a, b = scores[:, i], scores[:, j]
-            beaten = _ahead(a, b) > b
+            beaten = _ahead(scores[:, i], scores[:, j]) > scores[:, j]
             leader &= ~beaten
             edge |= ~beaten
     return leader, edge
 
 
-def clear_leaders(points: DataFrame, scorers: tuple[str, ...] = SCORERS, least: int = 3, block: int = BLOCK) -> DataFrame:
+def _leaders(scores: np.ndarray, closeness: np.ndarray) -> np.ndarray:
+    """The rows that nobody is ahead of in two columns.
+
+    The ranking names the likely winners: its first rows dismiss nearly all others at once, and only what
+    is left is compared with every row.
+    """
+    first = np.argsort(-closeness, kind="stable")[:PIVOTS]
+    left = np.flatnonzero(((scores[first][:, None, :] > scores[None, :, :]).sum(2) < 2).all(0))
+    if len(left) * len(scores) > 4_000_000:
+        return _reduce(scores)[0]
+    out = np.zeros(len(scores), bool)
+    out[left] = ((scores[:, None, :] > scores[left][None, :, :]).sum(2) < 2).all(0)
+    return out
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """The runs of equal values in the first `keys` columns of a sorted stream, one at a time."""
+    rest: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        codes = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(keys)], 1)
+        cuts = [0, *(np.flatnonzero((codes[1:] != codes[:-1]).any(1)) + 1), batch.num_rows]
+        if rest and any(rest[-1].column(i)[-1].as_py() != batch.column(i)[0].as_py() for i in range(keys)):
+            yield pa.Table.from_batches(rest)
+            rest = []
+        for a, b in zip(cuts, cuts[1:]):
+            rest.append(batch.slice(a, b - a))
+            if b < batch.num_rows:
+                yield pa.Table.from_batches(rest)
+                rest = []
+    if rest:
+        yield pa.Table.from_batches(rest)
+
+
+def clear_leaders(ranking: DataFrame, scorers: tuple[str, ...] = SCORERS, least: int = 3, block: int = BLOCK) -> DataFrame:
     """The points with `least` or more scores that no other point of the query beats in two scorers.
 
-    A score beats a lower one and a missing one. Each block of a query keeps its own leaders and, for each
-    pair of scorers, its staircase (the points nobody in the block beats in both); a point that anyone
-    beats is also beaten by a point on a staircase, so the blocks' survivors decide the query. No pairs of
-    points are formed; the survivors of a block are few unless nearly all points are tied.
-    `points` needs points_n, the size of the query.
+    A score beats a lower one and a missing one. `ranking` is as of ideal_point_closeness: its first points
+    dismiss most others, the rest is checked exactly. A query of more than `block` points is worked off in
+    blocks: each keeps its own leaders and, for each pair of scorers, its staircase (the points nobody in
+    the block beats in both); a point that anyone beats is also beaten by a point on a staircase, so the
+    blocks' survivors decide the query. No pairs of points are formed beyond a block; the survivors of a
+    block are few unless nearly all points are tied. Rows without a query or point are left out.
     """
-    arrays = "query_id long, point_id long, scores array<double>, local boolean"
-    own = points.select(
-        "query_id",
-        "point_id",
-        F.array(*[F.coalesce(F.col(s).cast("double"), F.lit(float("-inf"))) for s in scorers]).alias("scores"),
-        F.pmod(F.xxhash64("point_id"), F.ceil(F.col("points_n") / block)).alias("block"),
-    )
-
-    def first(pdf: pd.DataFrame) -> pd.DataFrame:
-        leader, edge = _reduce(np.stack(pdf["scores"].to_numpy()))
-        kept = pdf.loc[leader | edge, ["query_id", "point_id", "scores"]]
-        return kept.assign(local=leader[leader | edge])
-
-    def second(pdf: pd.DataFrame) -> pd.DataFrame:
-        scores = np.stack(pdf["scores"].to_numpy())
-        leader, _ = _reduce(scores)
-        keep = leader & pdf["local"].to_numpy(bool) & (np.isfinite(scores).sum(axis=1) >= least)
-        return pdf.loc[keep, ["query_id", "point_id"]]
-
-    survivors = own.groupBy("query_id", "block").applyInPandas(first, arrays)
-    return survivors.groupBy("query_id").applyInPandas(second, "query_id long, point_id long")
+    k = len(scorers)
+    columns = [F.coalesce(F.col(s).cast("double"), F.lit(float("-inf"))).alias(f"s{i}") for i, s in enumerate(scorers)]
+    own = ranking.filter("query_id IS NOT NULL AND point_id IS NOT NULL").select(
+        F.col("query_id").cast("long").alias("query_id"), F.pmod(F.xxhash64("point_id"), F.ceil(F.col("points_n") / block)).alias("block"), F.col("point_id").cast("long").alias("point_id"),
+        (F.col("points_n") <= block).alias("whole"), "closeness", *columns,
+    )
+    fields = [("query_id", pa.int64()), ("point_id", pa.int64()), ("open", pa.bool_()), ("leader", pa.bool_()), ("closeness", pa.float64()), *[(f"s{i}", pa.float64()) for i in range(k)]]
+    schema = pa.schema(fields)
+    ddl = "query_id long, point_id long, open boolean, leader boolean, closeness double, " + ", ".join(f"s{i} double" for i in range(k))
+
+    def matrix(t: pa.Table) -> np.ndarray:
+        return np.stack([t.column(f"s{i}").to_numpy() for i in range(k)], 1)
+
+    def made(t: pa.Table, keep: np.ndarray, is_open: bool, leader: np.ndarray) -> pa.RecordBatch:
+        at = pa.array(np.flatnonzero(keep))
+        flags = [pa.array(np.full(len(at), is_open)), pa.array(leader[keep])]
+        return pa.RecordBatch.from_arrays([t.column(c).take(at).combine_chunks() for c in ("query_id", "point_id")] + flags + [t.column(c).take(at).combine_chunks() for c in ("closeness", *[f"s{i}" for i in range(k)])], schema=schema)
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _groups(batches, 2):
+            scores = matrix(t)
+            if t.column("whole")[0].as_py():
+                leader = _leaders(scores, t.column("closeness").to_numpy())
+                keep = leader & (np.isfinite(scores).sum(1) >= least)
+                if keep.any():
+                    yield made(t, keep, False, leader)
+            else:
+                leader, edge = _reduce(scores)
+                yield made(t, edge, True, leader)
+
+    def queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _groups(batches, 1):
+            if not t.column("open")[0].as_py():
+                yield from t.select(["query_id", "point_id"]).to_batches()
+                continue
+            scores = matrix(t)
+            keep = _leaders(scores, t.column("closeness").to_numpy()) & t.column("leader").to_numpy(zero_copy_only=False) & (np.isfinite(scores).sum(1) >= least)
+            yield from t.select(["query_id", "point_id"]).filter(pa.array(keep)).to_batches()
+
+    survivors = own.repartition("query_id", "block").sortWithinPartitions("query_id", "block").mapInArrow(blocks, ddl)
+    return survivors.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(queries, "query_id long, point_id long")

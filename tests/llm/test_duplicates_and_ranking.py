@@ -60,6 +60,10 @@ def ranking(spark, data, **options):
     return ranked(ideal_point_closeness(current_scores(scores(spark, data)), **options))
 
 
+def closeness(spark, data):
+    return ideal_point_closeness(current_scores(scores(spark, data)))
+
+
 def test_current_scores(spark):
     nan, inf = float("nan"), float("inf")
     got = current_scores(scores(spark, [(1, "dense", 1, 0.5, 1), (1, "dense", 1, nan, 2), (1, "sparse", 1, 2.0, 1), (1, "sparse", 1, 3.0, 1), (1, "rerank", 1, inf, 1), (1, "other", 2, 1.0, 1), (1, "lexical", 3, None, 1)]))
@@ -96,7 +100,7 @@ def test_closeness(spark):
 
 
 def test_ties_and_nothing(spark):
-    assert ranking(spark, []).count() == 0 and clear_leaders(ranking(spark, [])).count() == 0
+    assert ranking(spark, []).count() == 0 and clear_leaders(closeness(spark, [])).count() == 0
     same = ranking(spark, [(1, s, p, 1.0, 1) for p in range(5) for s in S] * 2).collect()
     assert {(r["closeness"], r["rank"]) for r in same} == {(0.5, 1)}
     zero = ranking(spark, [(1, "dense", 1, 0.0, 1), (1, "dense", 2, 0.0, 1)])
@@ -116,6 +120,6 @@ def test_leaders(spark):
         if len(v) >= 3 and all(sum(o.get(s, -math.inf) > v.get(s, -math.inf) for s in S) <= 1 for (qq, pp), o in own.items() if qq == q and pp != p):
             expected.add((q, p))
     assert expected
-    table = ranking(spark, data)
+    table = closeness(spark, data)
     for block in (7, 50_000):
         assert {tuple(r) for r in clear_leaders(table, block=block).collect()} == expected
