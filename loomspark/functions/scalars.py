@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-from datetime import datetime
 from typing import Any
 from uuid import UUID
 
@@ -21,8 +20,10 @@ def _col(c: Column | str) -> Column:
 
 def parse_iso(value: Column | str, default: Column | None = None) -> Column:
     """An ISO 8601 text as a timestamp; without zone it is UTC; what can't be read gives the default (1970)."""
-    default = F.lit(datetime(1970, 1, 1)).cast("timestamp") if default is None else default
-    return F.coalesce(F.try_to_timestamp(F.replace(_col(value), F.lit("Z"), F.lit("+00:00"))), default)
+    default = F.timestamp_seconds(F.lit(0)) if default is None else default
+    v = F.replace(_col(value), F.lit("Z"), F.lit("+00:00"))
+    zoned = F.when(v.rlike("[+-][0-9]{2}:?[0-9]{2}$"), v).when(F.length(v) <= 10, F.concat(v, F.lit("T00:00:00+00:00"))).otherwise(F.concat(v, F.lit("+00:00")))
+    return F.coalesce(F.try_to_timestamp(zoned), default)
 
 
 def payload_times(created: Column | str, modified: Column | str) -> tuple[Column, Column]:

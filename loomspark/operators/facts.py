@@ -148,6 +148,31 @@ def set_source_status(sources: DataFrame, status: str = "deleted", source_type=N
     return sources.withColumns({"status": F.when(hit, F.lit(status)).otherwise(F.col("status")), "verified_at": F.when(hit, stamp).otherwise(F.col("verified_at"))})
 
 
+def mark_note(sources: DataFrame, note_id: str, status: str = "deleted", now: dt.datetime | None = None) -> DataFrame:
+    """The sources after a note was deleted, modified or moved."""
+    return set_source_status(sources, status, "note", note_id, now=now)
+
+
+def mark_glossary(sources: DataFrame, entry_id: str, status: str = "deleted", now: dt.datetime | None = None) -> DataFrame:
+    """The sources after a glossary entry was deleted or modified."""
+    return set_source_status(sources, status, "glossary", entry_id, now=now)
+
+
+def mark_document(sources: DataFrame, content_hash: str, status: str = "modified", now: dt.datetime | None = None) -> DataFrame:
+    """The sources after the document with this content was modified or deleted."""
+    return set_source_status(sources, status, "document", content_hash=content_hash, now=now)
+
+
+def revalidate(sources: DataFrame, source_type: str, source_id: str, now: dt.datetime | None = None) -> DataFrame:
+    """The sources with all of one origin active again."""
+    return set_source_status(sources, "active", source_type, source_id, now=now)
+
+
+def documents(facts: DataFrame) -> DataFrame:
+    """(id, json): each fact as one JSON document; null values are left out."""
+    return facts.select("id", F.to_json(F.struct(*facts.columns)).alias("json"))
+
+
 def facts_by_source_status(facts: DataFrame, sources: DataFrame, status: str, limit: int | None = 100) -> DataFrame:
     """The facts with a source of this status, latest modified first."""
     found = facts.join(sources.filter(F.col("status") == status).select(F.col("fact_id").alias("id")), "id", "left_semi")

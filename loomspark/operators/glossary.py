@@ -145,5 +145,10 @@ class Tools:
             self.entries, self.aliases = delete(self.entries, self.aliases, own["id"])
         return own
 
+    def search(self, ranked: DataFrame, limit: int = 10) -> list[dict[str, Any]]:
+        """The entries of a search result (id, score, rank), best first, with their whole texts."""
+        best = ranked.filter(F.col("rank") <= max(1, min(limit, self.MOST)))
+        return [r.asDict() for r in best.join(self.entries.select("id", "term", "expansion", "definition", "domain"), "id").orderBy("rank").collect()]
+
     def list(self, domain: str | None = None, limit: int = 50) -> list[dict[str, Any]]:
         return [r.asDict() for r in list_entries(self.entries, domain, min(limit, self.MOST)).collect()]

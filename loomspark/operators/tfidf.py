@@ -6,7 +6,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from loomspark.functions.text import tokens
 from loomspark.operators.fuzzy import nearest_tokens
@@ -23,9 +22,9 @@ def term_counts(occurrences: DataFrame) -> DataFrame:
     return occurrences.groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("count"))
 
 
-def doc_frequencies(occurrences: DataFrame) -> DataFrame:
-    """(token, doc_freq): in how many documents each token occurs."""
-    return occurrences.distinct().groupBy("token").agg(F.count(F.lit(1)).alias("doc_freq"))
+def doc_frequencies(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(token, doc_freq): in how many documents (rows) each token occurs; counts combine before the only shuffle."""
+    return docs.select(F.explode(F.array_distinct(tokens(text))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("doc_freq"))
 
 
 def _idf(docs: int):
@@ -41,20 +40,20 @@ class TfidfModel:
     initial: int
 
     @classmethod
-    def fit(cls, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> TfidfModel:
+    def fit(cls, docs: DataFrame, text: str = "text") -> TfidfModel:
         """Tokens numbered by falling document frequency, ties by token; idf = ln((N + 1) / (df + 1)) + 1."""
         n = docs.count()
-        found = doc_frequencies(tokenized(docs, doc_id, text))
+        found = doc_frequencies(docs, text)
         vocabulary = numbered(found, [F.desc("doc_freq"), F.asc("token")], "idx").withColumn("idf", _idf(n))
         return cls(vocabulary, n, -1)
 
-    def extend(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> TfidfModel:
+    def extend(self, docs: DataFrame, text: str = "text") -> TfidfModel:
         """The model with more documents: new tokens after the old ones, counts added, every idf anew."""
         more = docs.count()
         if not more:
             return self
         n = self.docs + more
-        new = doc_frequencies(tokenized(docs, doc_id, text)).withColumnRenamed("doc_freq", "more")
+        new = doc_frequencies(docs, text).withColumnRenamed("doc_freq", "more")
         both = self.vocabulary.select("token", "idx", "doc_freq").join(new, "token", "full")
         old = both.filter("idx IS NOT NULL").select("token", "idx", (F.col("doc_freq") + F.coalesce("more", F.lit(0))).alias("doc_freq"))
         first = (self.vocabulary.agg(F.max("idx")).first()[0] or -1) + 1 if self.initial != 0 else 0

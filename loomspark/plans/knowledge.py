@@ -289,7 +289,8 @@ def fragment_orphans(spark, sf):
 
 
 def hourly_events(spark, sf):
-    return event_windows(_read(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))).withColumn("value", F.round("value", 4)).withColumn("start", F.unix_seconds("start"))
+    own = event_windows(_read(spark, sf, "events")).withColumn("value", F.round("value", 4))
+    return own.withColumn("start", F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', start)"))
 
 
 QUERIES = {

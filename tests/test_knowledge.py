@@ -51,6 +51,12 @@ def test_sources(spark):
     f = facts(spark, ("Alice", "knows", "Bob"), ("Bob", "knows", "Carol"))
     s = spark.createDataFrame([("f0", "note", "n1", "h", "active", None), ("f0", "note", "n2", "h", "deleted", None)], "fact_id string, source_type string, source_id string, content_hash string, status string, verified_at timestamp")
     assert rows(fa.set_source_status(s).select("status")) == rows(s.select("status"))
+    assert [r["status"] for r in fa.mark_note(s, "n1", now=NOW).orderBy("source_id").collect()] == ["deleted", "deleted"]
+    assert fa.mark_glossary(s, "n1").filter("status = 'active'").count() == 1 and fa.mark_document(s, "h").filter("status = 'modified'").count() == 0
+    assert fa.revalidate(s, "note", "n2").filter("status = 'active'").count() == 2
+    with pytest.raises(ValueError):
+        fa.set_source_status(s, "lost", "note")
+    assert '"subject":"Alice"' in fa.documents(f).filter("id = 'f0'").first()["json"]
     got = {r["id"]: (r["total"], r["score"]) for r in fa.integrity(f, s).collect()}
     assert got == {"f0": (2, 0.5), "f1": (0, 1.0)}
     batch = fa.read_batch(f, s, spark.createDataFrame([(0, "f1"), (1, "f0"), (2, "none")], "ordinal int, id string")).orderBy("ordinal").collect()
@@ -124,6 +130,8 @@ def test_glossary(spark):
     assert tools.create(id="2", term="")["error"] and tools.create(id="2", term="usaf", expansion="e", definition="d")["code"] == "DUPLICATE"
     assert tools.create(id="2", term="API", expansion="e", definition="d", aliases=["iface"])["id"] == "2"
     assert tools.get("IFACE")["term"] == "API" and tools.get("zz")["code"] == "NOT_FOUND" and len(tools.list(limit=500)) == 2
+    hits = spark.createDataFrame([("2", 0.9, 1), ("1", 0.5, 2)], "id string, score double, rank int")
+    assert [e["term"] for e in tools.search(hits)] == ["API", "USAF"] and len(tools.search(hits, 0)) == 1
     assert tools.delete("api")["id"] == "2" and len(tools.list()) == 1
 
 
