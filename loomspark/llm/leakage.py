@@ -61,7 +61,7 @@ class LeakIndex:
             for keys in self.hashes(self.words, self.starts, walk):
                 order = np.argsort(keys, kind="stable")
                 self.keys.append((keys[order], self.starts[order]))
-        self.bits = 20
+        self.bits = min(24, int(np.log2(16 * len(self.starts) + 1)) + 1)
         self.filters = []
         for keys, _ in self.keys:
             seen = np.zeros(1 << self.bits, bool)
