@@ -22,7 +22,8 @@ def parse_iso(value: Column | str, default: Column | None = None) -> Column:
     """An ISO 8601 text as a timestamp; without zone it is UTC; what can't be read gives the default (1970)."""
     default = F.timestamp_seconds(F.lit(0)) if default is None else default
     v = F.replace(_col(value), F.lit("Z"), F.lit("+00:00"))
-    zoned = F.when(v.rlike("[+-][0-9]{2}:?[0-9]{2}$"), v).when(F.length(v) <= 10, F.concat(v, F.lit("T00:00:00+00:00"))).otherwise(F.concat(v, F.lit("+00:00")))
+    day = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}"
+    zoned = F.when(v.rlike(day + "$"), F.concat(v, F.lit("T00:00:00+00:00"))).when(v.rlike(day + ".*[+-][0-9]{2}:?[0-9]{2}$"), v).when(v.rlike(day), F.concat(v, F.lit("+00:00")))
     return F.coalesce(F.try_to_timestamp(zoned), default)
 
 
