@@ -35,11 +35,19 @@ def file_lists(df: DataFrame) -> DataFrame:
 
 
 def _digests(states: DataFrame) -> DataFrame:
-    """(group, snapshot, leaf, a, b, n): sums of two row hashes and the number of rows of each leaf range."""
+    """(group, snapshot, leaf, a, b, n): two digests of the rows of each leaf range, and their number.
+
+    A digest is the exclusive or of the rows' 64-bit hashes. Paths are unique in a snapshot, so equal rows
+    never cancel out; digests of any number of rows combine in any order and never overflow.
+    """
     row = F.xxhash64("path", "hash", "size", "mtime")
     other = F.xxhash64(F.lit(31), "mtime", "size", "hash", "path")
-    narrow = lambda h: F.shiftrightunsigned(h, 24)  # noqa: E731  40 bits, so that sums of 8 million rows fit
-    return states.groupBy(*KEY, "leaf").agg(F.sum(narrow(row)).alias("a"), F.sum(narrow(other)).alias("b"), F.count(F.lit(1)).alias("n"))
+    return states.groupBy(*KEY, "leaf").agg(F.bit_xor(row).alias("a"), F.bit_xor(other).alias("b"), F.count(F.lit(1)).alias("n"))
+
+
+def _combined(nodes: DataFrame, level: str) -> DataFrame:
+    """The digests of the nodes of a level from those below them."""
+    return nodes.groupBy(*KEY, level).agg(F.bit_xor("a").alias("a"), F.bit_xor("b").alias("b"), F.sum("n").alias("n"))
 
 
 def _leaf(bits: int) -> Column:
@@ -60,18 +68,18 @@ def _differing(steps: DataFrame, digests: DataFrame, bits: int) -> DataFrame:
     """(group, snapshot, leaf): the leaf ranges whose digests differ between a snapshot and the one before.
 
     Top-down: the roots of all pairs are compared, then the children of differing nodes only. A node's
-    digest is the sum of its children's, so a node differs if the signed sum over both snapshots isn't 0.
+    digest combines its children's; combined over both snapshots it is 0 where they are alike.
     """
     at = steps.withColumnRenamed("snapshot", "target").withColumnRenamed("match", "snapshot")
-    own = digests.join(at, KEY).select("group", F.col("target").alias("snapshot"), "leaf", *[(F.col(c) * F.col("sign")).alias(c) for c in ("a", "b", "n")])
-    leaves = own.groupBy(*KEY, "leaf").agg(*[F.sum(c).alias(c) for c in ("a", "b", "n")])
+    own = digests.join(at, KEY).select("group", F.col("target").alias("snapshot"), "leaf", "a", "b", (F.col("n") * F.col("sign")).alias("n"))
+    leaves = _combined(own, "leaf")
     nodes, depth = None, 0
     for level in [*range(0, bits, 2 * FAN_BITS), bits]:
         tree = leaves.withColumn("node", F.shiftright("leaf", bits - level))
         if nodes is not None:
             above = nodes.withColumnRenamed("node", "above")
             tree = tree.withColumn("above", F.shiftright("node", level - depth)).join(above, [*KEY, "above"], "left_semi")
-        nodes = tree.groupBy(*KEY, "node").agg(*[F.sum(c).alias(c) for c in ("a", "b", "n")]).filter("a <> 0 OR b <> 0 OR n <> 0").select(*KEY, "node")
+        nodes = _combined(tree, "node").filter("a <> 0 OR b <> 0 OR n <> 0").select(*KEY, "node")
         depth = level
     return nodes.withColumnRenamed("node", "leaf")
 
