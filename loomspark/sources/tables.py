@@ -13,6 +13,9 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
+
+from loomspark.session import cut_lineage
 
 
 def numbered(df: DataFrame, order: list[Column], name: str, first: int = 0) -> DataFrame:
@@ -21,20 +24,14 @@ def numbered(df: DataFrame, order: list[Column], name: str, first: int = 0) -> D
     A range partitioning sorts in parallel; the counts per partition (as many rows as partitions) give
     each partition its offset. The sorted rows are kept by a checkpoint, so the ranges are drawn once.
     """
-    from loomspark.session import cut_lineage
-
     ranged = df.repartitionByRange(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *order).sortWithinPartitions(*order)
     marked = cut_lineage(ranged.withColumn("__id", F.monotonically_increasing_id()))
     part, within = F.shiftrightunsigned("__id", 33), F.col("__id").bitwiseAND((1 << 33) - 1)
-    counts = {r[0]: r[1] for r in marked.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    offsets, total = {}, first
-    for p in sorted(counts):
-        offsets[p] = total
-        total += counts[p]
-    if not offsets:
-        return df.withColumn(name, F.lit(first).cast("long")).limit(0)
-    table = F.create_map(*[F.lit(x) for pair in offsets.items() for x in pair])
-    return marked.withColumn(name, (F.element_at(table, part) + within).cast("long")).drop("__id")
+    counts = marked.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = F.broadcast(counts.select("__part", before.alias("__before")))
+    placed = marked.withColumn("__part", part).join(offsets, "__part")
+    return placed.select(*df.columns, (F.col("__before") + within + first).cast("long").alias(name))
 
 
 def upsert(existing: DataFrame, new: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
@@ -73,16 +70,17 @@ class Store:
             stream.close()
 
     def _write(self, path: str, text: str) -> None:
-        """Writes beside the target and renames, so that a reader sees the old or the new text."""
+        """Writes beside the target and renames over it, so that a reader sees the old or the new text."""
         beside = self._path(f"{path}.{uuid.uuid4().hex}")
         out = self._fs.create(beside, True)
         out.write(bytearray(text.encode()))
         out.close()
-        target = self._path(path)
-        if self._fs.exists(target):
-            self._fs.delete(target, False)
-        if not self._fs.rename(beside, target):
-            raise OSError(f"can't move the pointer of {path}")
+        sc = self.spark.sparkContext
+        hadoop = sc._jvm.org.apache.hadoop.fs
+        options = sc._gateway.new_array(hadoop.Options.Rename, 1)
+        options[0] = hadoop.Options.Rename.OVERWRITE
+        context = hadoop.FileContext.getFileContext(self._fs.getUri(), sc._jsc.hadoopConfiguration())
+        context.rename(beside.makeQualified(self._fs.getUri(), self._fs.getWorkingDirectory()), self._path(path).makeQualified(self._fs.getUri(), self._fs.getWorkingDirectory()), options)
 
     def exists(self, name: str) -> bool:
         return self._read(f"{self.root}/{name}/CURRENT") is not None
