@@ -14,14 +14,15 @@ SEP = "\u0001"
 COUNTS = pa.schema([("gram", pa.string()), ("n", pa.int64()), ("records", pa.int64())])
 
 
-def _stack_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _stack_counts(batches: Iterator[pa.RecordBatch], nested: bool = True) -> Iterator[pa.RecordBatch]:
     """Aggregates the counts and record sets of all prefixes of suffixes that come in descending order.
 
     The stack holds the terms of the current suffix, each with the count and the records seen since it
     was pushed. When a suffix no longer shares a term, that level is complete: it is emitted, and its
-    count and records go to the level below, whose prefix it extends.
+    count and records go to the level below, whose prefix it extends. Rows of one suffix have distinct
+    records; so if no suffix extends another (`nested` False), records are counted and no set is held.
     """
-    stack: list[tuple[str, list[int], set]] = []
+    stack: list[tuple[str, list[int], set]] = []  # term, [count, records counted], records held
     grams: list[str] = []
     sums: list[int] = []
     sizes: list[int] = []
@@ -30,7 +31,7 @@ def _stack_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         grams.append(SEP.join(x[0] for x in stack))
         _, count, seen = stack.pop()
         sums.append(count[0])
-        sizes.append(len(seen))
+        sizes.append(count[1] + len(seen))
         if stack:
             stack[-1][1][0] += count[0]
             stack[-1][2].update(seen)
@@ -51,12 +52,15 @@ def _stack_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 while len(stack) > keep:
                     pop()
                 for t in terms[keep:]:
-                    stack.append((t, [0], set()))
+                    stack.append((t, [0, 0], set()))
                 last = suffix
             top = stack[-1]
             top[1][0] += n
             if record is not None:
-                top[2].add(record)
+                if nested:
+                    top[2].add(record)
+                else:
+                    top[1][1] += 1
         if len(grams) >= 50_000:
             yield flush()
     while stack:
@@ -74,8 +78,9 @@ def ngram_frequencies(df: DataFrame, record: str, terms: str, weight: str | None
     them, so their sums add up exactly. Equal suffixes of a record are combined before the shuffle.
     Null and empty arrays and null terms give nothing; rows of the same record belong together; a null
     weight counts as 0 and a null record counts in n but not in records. A gram's terms are joined by one
-    space; the control characters U+0000 and U+0001 in a term read as U+FFFD. The sets of a task hold one
-    entry per record of its terms, so `salts` is to grow with the number of records (one per million or so).
+    space; the control characters U+0000 and U+0001 in a term read as U+FFFD. With `max_n` above 1 the sets
+    of a task hold one entry per record of its terms, so `salts` is to grow with the number of records (one
+    per million or so).
     """
     w = F.lit(1) if weight is None else F.coalesce(F.col(weight), F.lit(0))
     base = df.select(F.col(record).alias("record"), w.cast("long").alias("w"), F.transform(F.filter(terms, lambda t: t.isNotNull()), lambda t: F.translate(t, "\u0000" + SEP, "\ufffd\ufffd")).alias("terms"))
@@ -87,5 +92,6 @@ def ngram_frequencies(df: DataFrame, record: str, terms: str, weight: str | None
     combined = suffixes.groupBy("head", "suffix", "record").agg(F.sum("w").alias("w"))
     routed = combined.withColumn("salt", F.pmod(F.xxhash64("record"), F.lit(salts)))
     tasks = routed.repartition("head", "salt").sortWithinPartitions(F.desc("suffix")).select("suffix", "record", "w")
-    part = tasks.select("suffix", F.col("record").cast("string"), "w").mapInArrow(_stack_counts, "gram string, n long, records long")
+    nested = max_n > 1
+    part = tasks.select("suffix", F.col("record").cast("string"), "w").mapInArrow(lambda batches: _stack_counts(batches, nested), "gram string, n long, records long")
     return part.groupBy("gram").agg(F.sum("n").alias("n"), F.sum("records").alias("records")).select(F.translate("gram", SEP, " ").alias("gram"), "n", "records")
