@@ -56,8 +56,8 @@ class TfidfModel:
         new = doc_frequencies(docs, text).withColumnRenamed("doc_freq", "more")
         both = self.vocabulary.select("token", "idx", "doc_freq").join(new, "token", "full")
         old = both.filter("idx IS NOT NULL").select("token", "idx", (F.col("doc_freq") + F.coalesce("more", F.lit(0))).alias("doc_freq"))
-        first = (self.vocabulary.agg(F.max("idx")).first()[0] or -1) + 1 if self.initial != 0 else 0
-        fresh = numbered(both.filter("idx IS NULL").select("token", F.col("more").alias("doc_freq")), [F.asc("token")], "idx", first)
+        last = self.vocabulary.agg(F.max("idx")).first()[0]
+        fresh = numbered(both.filter("idx IS NULL").select("token", F.col("more").alias("doc_freq")), [F.asc("token")], "idx", 0 if last is None else last + 1)
         vocabulary = old.unionByName(fresh.select("token", F.col("idx").cast(old.schema["idx"].dataType).alias("idx"), "doc_freq"))
         return TfidfModel(vocabulary.withColumn("idf", _idf(n)), n, self.size_at_fit())
 

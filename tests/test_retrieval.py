@@ -12,7 +12,7 @@ from loomspark.operators.tfidf import TfidfModel, packed
 
 
 def texts(spark, *values):
-    return spark.createDataFrame(list(enumerate(values)), "doc_id long, text string")
+    return spark.createDataFrame(list(enumerate(values)), "doc_id long, text string")  # no values: an empty table
 
 
 def freqs(spark, data):
@@ -36,6 +36,9 @@ def test_tfidf(spark, tmp_path):
     idf = {r["token"]: r["idf"] for r in two.vocabulary.collect()}
     assert two.docs == 4 and abs(idf["alpha"] - (math.log(5 / 2) + 1)) < 1e-12
     assert two.growth_ratio() == 1.0 and two.needs_reindex()
+    small = TfidfModel.fit(texts(spark, "alpha")).extend(texts(spark, "beta"))
+    assert {r["token"]: r["idx"] for r in small.vocabulary.collect()} == {"alpha": 0, "beta": 1}
+    assert TfidfModel.fit(texts(spark)).extend(texts(spark, "beta")).vocabulary.first()["idx"] == 0
     two.save(str(tmp_path / "m"))
     assert TfidfModel.load(spark, str(tmp_path / "m")).docs == 4
     sparse = packed(two.vectors(texts(spark, "beta beta alpha"))).first()["sparse"]
