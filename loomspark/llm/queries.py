@@ -77,7 +77,8 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p8_packed(spark: SparkSession, sf: str) -> DataFrame:
-    return packing.pack_documents(tokens.token_counts(_documents(spark, sf), "doc_id", "text"))
+    """(doc_id, piece, start_token, tokens, tier, container, step_group, room) of every document."""
+    return packing.pack_documents(tokens.token_counts(_documents(spark, sf), "doc_id", "text")).withColumnRenamed("id", "doc_id")
 
 
 def p9_leaks(spark: SparkSession, sf: str) -> DataFrame:
