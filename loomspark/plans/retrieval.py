@@ -16,7 +16,7 @@ from loomspark.operators.search import grouped_search, hybrid_search
 from loomspark.operators.tfidf import TfidfModel
 from loomspark.session import spread
 
-#: Sources whose documents take the part of one corpus in the transitions.
+#: The three documents and vectors that the short searches ask, as their SQL does. Those named `_whole` ask every hundredth.
 QUERY_IDS = (1, 7, 23)
 
 
@@ -191,8 +191,17 @@ def query_texts(spark, sf):
     return d.select(F.col("doc_id").alias("query_id"), F.substring("text", 1, 300).alias("text"))
 
 
-def idf_query(spark, sf):
-    return voc.query_vectors(state(spark, sf), query_texts(spark, sf), fuzzy=False).select("query_id", "idx", _q6("weight"))
+def whole_query_texts(spark, sf):
+    """Every hundredth document with all of its text."""
+    return docs(spark, sf).filter("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "text")
+
+
+def idf_query(spark, sf, texts=query_texts):
+    return voc.query_vectors(state(spark, sf), texts(spark, sf), fuzzy=False).select("query_id", "idx", _q6("weight"))
+
+
+def idf_query_whole(spark, sf):
+    return idf_query(spark, sf, whole_query_texts)
 
 
 def fuzzy_tokens(spark, sf):
@@ -213,12 +222,26 @@ def dense_queries(spark, sf):
     return e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("dense"))
 
 
-def dense_topk(spark, sf):
-    return dense_top_k_many(points(spark, sf), dense_queries(spark, sf), 10).select("query_id", "id", "rank", _q6("score"))
+def whole_dense_queries(spark, sf):
+    """Every hundredth vector."""
+    e = _read(spark, sf, "embeddings").filter("vec_id % 100 = 0")
+    return e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("dense"))
+
+
+def dense_topk(spark, sf, vectors=dense_queries):
+    return dense_top_k_many(points(spark, sf), vectors(spark, sf), 10).select("query_id", "id", "rank", _q6("score"))
+
+
+def dense_topk_whole(spark, sf):
+    return dense_topk(spark, sf, whole_dense_queries)
 
 
-def dense_topk_filtered(spark, sf):
-    return dense_top_k_many(points(spark, sf).filter("lang = 'en' AND label > 3"), dense_queries(spark, sf), 10).select("query_id", "id", "rank", _q6("score"))
+def dense_topk_filtered(spark, sf, vectors=dense_queries):
+    return dense_top_k_many(points(spark, sf).filter("lang = 'en' AND label > 3"), vectors(spark, sf), 10).select("query_id", "id", "rank", _q6("score"))
+
+
+def dense_topk_filtered_whole(spark, sf):
+    return dense_topk_filtered(spark, sf, whole_dense_queries)
 
 
 def dense_topk_all_queries(spark, sf):
@@ -229,41 +252,61 @@ def dense_topk_all_queries(spark, sf):
     return dense_top_k_many(own, asked, 5).select("query_id", "id", "rank", _q6("score"))
 
 
-def _sparse(spark, sf):
+def _sparse(spark, sf, texts=query_texts):
     s = state(spark, sf)
-    return voc.document_vectors(s, docs(spark, sf)), voc.query_vectors(s, query_texts(spark, sf), fuzzy=False)
+    return voc.document_vectors(s, docs(spark, sf)), voc.query_vectors(s, texts(spark, sf), fuzzy=False)
 
 
-def sparse_topk(spark, sf):
-    postings, asked = _sparse(spark, sf)
+def sparse_topk(spark, sf, texts=query_texts):
+    postings, asked = _sparse(spark, sf, texts)
     return sparse_top_k(postings, asked, 10).select("query_id", "id", "rank", _q6("score"))
 
 
-def sparse_topk_filtered(spark, sf):
-    postings, asked = _sparse(spark, sf)
+def sparse_topk_whole(spark, sf):
+    return sparse_topk(spark, sf, whole_query_texts)
+
+
+def sparse_topk_filtered(spark, sf, texts=query_texts):
+    postings, asked = _sparse(spark, sf, texts)
     allowed = docs(spark, sf).filter("lang = 'en'").select(F.col("doc_id").alias("id"))
     return sparse_top_k(postings, asked, 10, allowed=allowed).select("query_id", "id", "rank", _q6("score"))
 
 
-def _hybrid(spark, sf, **options):
-    postings, asked = _sparse(spark, sf)
+def sparse_topk_filtered_whole(spark, sf):
+    return sparse_topk_filtered(spark, sf, whole_query_texts)
+
+
+def _hybrid(spark, sf, texts=query_texts, vectors=dense_queries, **options):
+    postings, asked = _sparse(spark, sf, texts)
     own = points(spark, sf)
     postings = postings.join(own.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-    return hybrid_search(own, postings, dense_queries(spark, sf), asked, **options).select("query_id", "id", "rank", _q6("score"))
+    return hybrid_search(own, postings, vectors(spark, sf), asked, **options).select("query_id", "id", "rank", _q6("score"))
 
 
 def hybrid_weighted(spark, sf):
     return _hybrid(spark, sf)
 
 
+def hybrid_weighted_whole(spark, sf):
+    return _hybrid(spark, sf, whole_query_texts, whole_dense_queries)
+
+
 def hybrid_equal(spark, sf):
     return _hybrid(spark, sf, dense_weight=0.5, sparse_weight=0.5)
 
 
-def hybrid_grouped(spark, sf):
-    postings, asked = _sparse(spark, sf)
+def hybrid_equal_whole(spark, sf):
+    return _hybrid(spark, sf, whole_query_texts, whole_dense_queries, dense_weight=0.5, sparse_weight=0.5)
+
+
+def hybrid_grouped(spark, sf, texts=query_texts, vectors=dense_queries):
+    postings, asked = _sparse(spark, sf, texts)
     own = points(spark, sf)
-    return grouped_search(own, postings, dense_queries(spark, sf), asked, "source").select("query_id", "group", "id", "rank", _q6("score"))
+    return grouped_search(own, postings, vectors(spark, sf), asked, "source").select("query_id", "group", "id", "rank", _q6("score"))
+
+
+def hybrid_grouped_whole(spark, sf):
+    return hybrid_grouped(spark, sf, whole_query_texts, whole_dense_queries)
 
 
 def _ranked_results(spark, sf):
@@ -288,11 +331,15 @@ def fuse_two_lists(spark, sf):
     return fuse_full_outer(side(0), side(1)).withColumn("score", F.round("score", 9))
 
 
-def lexical_topk(spark, sf):
-    asked = query_texts(spark, sf).select("query_id", F.col("text").alias("query"))
+def lexical_topk(spark, sf, texts=query_texts):
+    asked = texts(spark, sf).select("query_id", F.col("text").alias("query"))
     return lexical_rank(docs(spark, sf), asked, "doc_id", "text", title="doc_type", path="path").select("query_id", F.col("key").alias("id"), "rank", _q6("score"))
 
 
+def lexical_topk_whole(spark, sf):
+    return lexical_topk(spark, sf, whole_query_texts)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -300,6 +347,7 @@ QUERIES = {
         collection_names, fact_texts, parse_iso_times, clamp_limits, doc_freq_fit, vocab_extend, tfidf_vectors, codebase_frequencies, vocab_register, vocab_unregister,
         vocab_incremental, vocab_rebuild, vocab_codebase_ids, vocab_lost_counts, vocab_stats, vocab_totals, index_to_token, tf_vectors, idf_query, fuzzy_tokens,
         dense_topk, dense_topk_filtered, dense_topk_all_queries, sparse_topk, sparse_topk_filtered, hybrid_weighted, hybrid_equal, hybrid_grouped, rrf_three_lists, fuse_two_lists, lexical_topk,
+        idf_query_whole, dense_topk_whole, dense_topk_filtered_whole, sparse_topk_whole, sparse_topk_filtered_whole, hybrid_weighted_whole, hybrid_equal_whole, hybrid_grouped_whole, lexical_topk_whole,
     )
 }
 
@@ -446,3 +494,7 @@ c AS (SELECT doc_id, lower(term) AS term, count(*) AS n FROM i GROUP BY 1, 2),
 s AS (SELECT query_id, doc_id AS id, sum(least(n, 5) * asked) / any_value(CAST(total AS DOUBLE)) AS score FROM c JOIN a ON c.term = a.term GROUP BY 1, 2)
 SELECT query_id, id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, CAST(id AS VARCHAR)) AS rank FROM s) WHERE rank <= 10""",
 }
+
+#: Whole searches with SQL: that of the short ones, but for the queries asked. The others add floating weights, whose order
+#: decides near ties, so they are compared with brute force in tests/test_whole.py instead.
+SQL |= {f"{k}_whole": SQL[k].replace(f"IN {QUERY_IDS}", "% 100 = 0").replace("substr(text, 1, 300)", "text") for k in ("idf_query", "dense_topk", "dense_topk_filtered", "lexical_topk")}
