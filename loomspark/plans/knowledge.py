@@ -64,13 +64,18 @@ def entity_facts(spark, sf):
     return fa.entity_facts(f, fa.adjacency(f), "GRANARY index service").select("id")
 
 
-def neighbors(spark, sf):
+def neighbors(spark, sf, which="subject LIKE 'Ma%' OR subject LIKE 'Granary%'"):
     f = _facts(spark, sf)
-    asked = f.select(F.col("subject").alias("name")).filter("subject LIKE 'Ma%' OR subject LIKE 'Granary%'").distinct()
+    asked = f.select(F.col("subject").alias("name")).filter(which).distinct()
     asked = asked.groupBy(F.lower("name").alias("k")).agg(F.min("name").alias("name")).select("name")
     return fa.neighbors(f, fa.adjacency(f), asked)
 
 
+def neighbors_whole(spark, sf):
+    """The neighbours of every subject."""
+    return neighbors(spark, sf, "subject IS NOT NULL")
+
+
 def source_statistics(spark, sf):
     return fa.source_statistics(_sources(spark, sf))
 
@@ -134,12 +139,17 @@ def _glossary(spark, sf):
     return entries, aliases
 
 
-def glossary_lookup(spark, sf):
+def glossary_lookup(spark, sf, which="substr(id, 2) % 5 = 0"):
     entries, aliases = _glossary(spark, sf)
-    asked = entries.filter("substr(id, 2) % 5 = 0").select(F.upper("term").alias("asked")).unionByName(aliases.select(F.upper("alias").alias("asked"))).unionByName(spark.createDataFrame([("nothing",)], "asked string"))
+    asked = entries.filter(which).select(F.upper("term").alias("asked")).unionByName(aliases.select(F.upper("alias").alias("asked"))).unionByName(spark.createDataFrame([("nothing",)], "asked string"))
     return gl.lookup(entries, aliases, asked)
 
 
+def glossary_lookup_whole(spark, sf):
+    """The entry of every term and alias."""
+    return glossary_lookup(spark, sf, "true")
+
+
 def glossary_exists(spark, sf):
     entries, aliases = _glossary(spark, sf)
     asked = _read(spark, sf, "part").select(F.concat(F.lit("ALIAS "), F.col("p_partkey").cast("string")).alias("asked"))
@@ -300,6 +310,7 @@ QUERIES = {
         fact_delete_cascade, fact_points, connections_all, connections_target, connection_distances, glossary_lookup, glossary_exists, glossary_domains, glossary_list, glossary_collisions, glossary_hashes, glossary_points,
         registry_replace, registry_by_status, registry_update, cache_evict, cache_hits, cache_stats, points_upsert, points_delete_by_filter, points_update_payload, points_scroll, points_retrieve,
         file_changes, file_change_counts, char_spans, byte_spans, fragment_lineage_gaps, fragment_orphans, hourly_events,
+        neighbors_whole, glossary_lookup_whole,
     )
 }
 
@@ -390,3 +401,7 @@ SELECT parent_id, problem FROM (SELECT parent_id, CASE WHEN a <> n OR b <> n THE
     "fragment_orphans": f"""WITH {_DAMAGED} SELECT parent_id || '/' || "index" AS id, CAST(parent_id AS VARCHAR) AS parent_id FROM damaged WHERE "index" > 0 AND parent_id NOT IN (SELECT parent_id FROM damaged WHERE "index" = 0)""",
     "hourly_events": "SELECT CAST(floor(epoch(date_trunc('hour', ts))) AS BIGINT) AS start, event_type, count(*) AS events, round(sum(value), 4) AS value FROM events GROUP BY 1, 2",
 }
+
+#: Whole queries: the SQL of the short ones, but for the rows asked.
+SQL["neighbors_whole"] = SQL["neighbors"].replace("subject LIKE 'Ma%' OR subject LIKE 'Granary%'", "subject IS NOT NULL")
+SQL["glossary_lookup_whole"] = SQL["glossary_lookup"].replace(" WHERE k % 5 = 0", "")

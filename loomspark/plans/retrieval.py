@@ -176,12 +176,17 @@ def vocab_totals(spark, sf):
     return voc.totals(_given_state(spark, sf))
 
 
-def index_to_token(spark, sf):
+def index_to_token(spark, sf, which="idx % 7 = 3"):
     s = _given_state(spark, sf)
-    wanted = s.vocabulary.filter("idx % 7 = 3").select((F.col("idx") * 2).alias("ordinal"), "idx")
+    wanted = s.vocabulary.filter(which).select((F.col("idx") * 2).alias("ordinal"), "idx")
     return voc.tokens_of(s, wanted)
 
 
+def index_to_token_whole(spark, sf):
+    """The token of every index."""
+    return index_to_token(spark, sf, "true")
+
+
 def tf_vectors(spark, sf):
     return voc.document_vectors(state(spark, sf), docs(spark, sf)).select("doc_id", "idx", _q6("tf"))
 
@@ -204,13 +209,18 @@ def idf_query_whole(spark, sf):
     return idf_query(spark, sf, whole_query_texts)
 
 
-def fuzzy_tokens(spark, sf):
+def fuzzy_tokens(spark, sf, which="idx % 40 = 0 AND length(token) > 4"):
     s = _given_state(spark, sf)
-    asked = s.vocabulary.filter("idx % 40 = 0 AND length(token) > 4").select(F.concat(F.expr("substr(token, 1, length(token) - 1)"), F.lit("z")).alias("token"))
+    asked = s.vocabulary.filter(which).select(F.concat(F.expr("substr(token, 1, length(token) - 1)"), F.lit("z")).alias("token"))
     unknown = asked.join(s.vocabulary, "token", "left_anti")
     return nearest_tokens(unknown, s.vocabulary, 0.75).withColumn("similarity", F.round("similarity", 6))
 
 
+def fuzzy_tokens_whole(spark, sf):
+    """For every hundredth token, of any length."""
+    return fuzzy_tokens(spark, sf, "idx % 100 = 0")
+
+
 def points(spark, sf):
     d = docs(spark, sf).select(F.col("doc_id").alias("id"), "lang", "source", "doc_type")
     e = _read(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("dense"), "label")
@@ -348,6 +358,7 @@ QUERIES = {
         vocab_incremental, vocab_rebuild, vocab_codebase_ids, vocab_lost_counts, vocab_stats, vocab_totals, index_to_token, tf_vectors, idf_query, fuzzy_tokens,
         dense_topk, dense_topk_filtered, dense_topk_all_queries, sparse_topk, sparse_topk_filtered, hybrid_weighted, hybrid_equal, hybrid_grouped, rrf_three_lists, fuse_two_lists, lexical_topk,
         idf_query_whole, dense_topk_whole, dense_topk_filtered_whole, sparse_topk_whole, sparse_topk_filtered_whole, hybrid_weighted_whole, hybrid_equal_whole, hybrid_grouped_whole, lexical_topk_whole,
+        index_to_token_whole, fuzzy_tokens_whole,
     )
 }
 
@@ -498,3 +509,5 @@ SELECT query_id, id, rank, round(score, 6) AS score FROM (SELECT *, row_number()
 #: Whole searches with SQL: that of the short ones, but for the queries asked. The others add floating weights, whose order
 #: decides near ties, so they are compared with brute force in tests/test_whole.py instead.
 SQL |= {f"{k}_whole": SQL[k].replace(f"IN {QUERY_IDS}", "% 100 = 0").replace("substr(text, 1, 300)", "text") for k in ("idf_query", "dense_topk", "dense_topk_filtered", "lexical_topk")}
+SQL["index_to_token_whole"] = SQL["index_to_token"].replace(" WHERE idx % 7 = 3", "")
+SQL["fuzzy_tokens_whole"] = SQL["fuzzy_tokens"].replace("idx % 40 = 0 AND length(token) > 4", "idx % 100 = 0")

@@ -76,3 +76,20 @@ def test_hybrid_fuses_both_for_every_query(spark, folder, name, weights):
 def test_grouped_asks_every_query(spark, folder):
     rows = QUERIES["hybrid_grouped_whole"](spark, folder).collect()
     assert {r["query_id"] for r in rows} == {0, 100, 200, 300} and {r["group"] for r in rows} == {"s0", "s1", "s2"}
+
+
+def test_lookups_ask_every_row(spark, tmp_path):
+    out = str(tmp_path)
+    vocabulary = [("abc", 0, 1), ("walrus", 1, 1), ("otter", 3, 1), ("heron", 5, 1), ("abcd", 7, 1), ("badger", 100, 2)]
+    spark.createDataFrame(vocabulary, "token string, idx long, doc_freq long").write.parquet(f"{out}/vocabulary.parquet")
+    spark.createDataFrame([("a", "otter", 1)], "codebase_id string, token string, doc_freq long").write.parquet(f"{out}/codebase_contributions.parquet")
+    spark.sql("SELECT 'a' codebase_id, 1L doc_count, TIMESTAMP'2025-01-01' last_updated").write.parquet(f"{out}/codebase_doc_counts.parquet")
+    spark.createDataFrame([("f1", "Zoe", "Person", "knows", "Bo", "Person"), ("f2", "Martin", "Person", "knows", "Zoe", "Person")], "id string, subject string, subject_type string, predicate string, object string, object_type string").write.parquet(f"{out}/facts.parquet")
+    spark.createDataFrame([(i, f"n{i}", "t") for i in range(1, 8)], "p_partkey long, p_name string, p_type string").write.parquet(f"{out}/part.parquet")
+    tokens = QUERIES["index_to_token_whole"](spark, out).collect()
+    assert sorted((r["idx"], r["token"]) for r in tokens) == [(i, t) for t, i, _ in vocabulary]
+    assert {r["token"]: r["match"] for r in QUERIES["fuzzy_tokens_whole"](spark, out).collect()} == {"badgez": "badger"}  # abz is too far from abc
+    linked = {(r["name"], r["entity"], r["fact_id"]) for r in QUERIES["neighbors_whole"](spark, out).collect()}
+    assert linked == {("Zoe", "Bo", "f1"), ("Zoe", "Martin", "f2"), ("Martin", "Zoe", "f2")}
+    found = {r["asked"]: r["id"] for r in QUERIES["glossary_lookup_whole"](spark, out).collect()}
+    assert found == {f"N{i} {i}": f"g{i}" for i in range(1, 8)} | {"ALIAS 3": "g3", "ALIAS 6": "g6"}
