@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -74,10 +75,16 @@ _ADDRESS = re.compile(
     rf")",
 )
 _PART = r"[^\W\d_]+(?:['’-][^\W\d_]+)*"
+#: What may stand between given and family name.
+_PARTICLES = r"(?: (?i:van|von|vom|zu|zum|zur|ter|ten|af|av|di|da|do|dos|das|del|della|dello|des|du|de|bin|ibn|al|el|der|den)(?: (?i:der|den|dem|het|la|las|los|le|el))?)?"
 _AFTER = re.compile(rf"((?:-[^\W\d_]+)?)((?: [^\W\d_]\.)*) ({_PART})")
+_AFTER_PARTICLES = re.compile(rf"((?:-[^\W\d_]+)?)((?: [^\W\d_]\.)*){_PARTICLES} (?:[dl]['’](?=[A-ZÀ-ÖØ-Þ]))?({_PART})")
 _BEFORE = re.compile(rf"({_PART}), \Z")
 _MIDDLE = re.compile(r"((?:-[^\W\d_]+)?)((?: [^\W\d_]\.)*)")
-_TITLED = re.compile(rf" ({_PART})((?: [^\W\d_]\.)*) ({_PART})")
+_TITLED = re.compile(rf" ({_PART})((?: [^\W\d_]\.)*){_PARTICLES} (?:[dl]['’](?=[A-ZÀ-ÖØ-Þ]))?({_PART})")
+_TITLED_ONE = re.compile(rf" ({_PARTICLES[:-1].replace('(?: (?i:van', '(?:(?i:van', 1)} )?({_PART})(?![\w@-])")
+#: Words of two letters that aren't family names.
+_SHORT_WORDS = frozenset("ai al am an as at au by ci da db de do du ed el em en er es et ex go he id if im in io ip is it la le lo me my na no ob of ok on or os ou qa se si so su tu ui um un up us va vm vs we zu".split())
 #: Signs of a person before a name in small letters, which alone could be ordinary words.
 _WORDS_NOT_NAMES = frozenset("and the for from with this that before after when while who has have had was were will can must should avant pour dans avec sur une les des und der die das den mit von bei hat wird para por con que los las una del".split())
 
@@ -92,7 +99,7 @@ def _automaton():
         for w in words:
             kinds.setdefault(w, kind)
     for w, kind in kinds.items():
-        own.add_word(w, (kind, len(w)))
+        own.add_word(_folded(w), (kind, len(w)))
     own.make_automaton()
     return own
 
@@ -103,6 +110,19 @@ def _lower(text: str) -> str:
     return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
 
 
+def _folded(low: str) -> str:
+    """Letters without their accents, each in its place; those that aren't a letter with accents stay."""
+    if low.isascii():
+        return low
+    return "".join(c if c.isascii() else next((b for b in unicodedata.normalize("NFD", c)[:1] if b.isascii() and b.isalpha()), c) for c in low)
+
+
+def _family(word: str, style: int) -> bool:
+    """Whether a word can be a family name: of two letters only with a capital, and no common word."""
+    low = word.lower()
+    return low not in _WORDS_NOT_NAMES and (len(word) >= 3 or len(word) == 2 and style > 1 and low not in _SHORT_WORDS)
+
+
 def _email(text: str, a: int, b: int) -> tuple[int, int] | None:
     """The address around the at-sign text[a:b], or None."""
     sign = text[a:b]
@@ -153,13 +173,15 @@ def _person(text: str, low: str, a: int, b: int, given: frozenset) -> tuple[int,
     style = _style(text[a:b])
     if not style:
         return None
-    m = _AFTER.match(text, b)
-    if m and len(m.group(3)) >= 3 and (m.group(3).lower() not in _WORDS_NOT_NAMES) and (not m.group(1) or _style(m.group(1)[1:]) == style) and _style(m.group(3)) == style:
-        end = m.end()
-        if not (end < len(text) and (text[end] in "_@(=" and text[end] != "(" or text[end].isdigit())):
-            return a, end
+    # In small letters, particles are ordinary words.
+    for pattern in (_AFTER,) if style == 1 else (_AFTER_PARTICLES, _AFTER):
+        m = pattern.match(text, b)
+        if m and _family(m.group(3), style) and (not m.group(1) or _style(m.group(1)[1:]) == style) and _style(m.group(3)) == style:
+            end = m.end()
+            if not (end < len(text) and (text[end] in "_@(=" and text[end] != "(" or text[end].isdigit())):
+                return a, end
     before = _BEFORE.search(text[max(0, a - 60) : a])
-    if before and len(before.group(1)) >= 3 and _style(before.group(1)) == style:
+    if before and (len(before.group(1)) >= 3 or _family(before.group(1), style)) and _style(before.group(1)) == style:
         start = a - len(before.group(0))
         if not (start and (text[start - 1].isalnum() or text[start - 1] in "_@.+/\\-")):
             tail = _MIDDLE.match(text, b)
@@ -170,6 +192,7 @@ def _person(text: str, low: str, a: int, b: int, given: frozenset) -> tuple[int,
 
 
 _GIVEN = frozenset(GIVEN_NAMES)
+_TITLE_WORDS = frozenset(t.rstrip(".") for t in TITLES)
 
 
 def find_personal(text: str | None) -> list[tuple[int, int, str]]:
@@ -180,7 +203,7 @@ def find_personal(text: str | None) -> list[tuple[int, int, str]]:
     """
     if not text:
         return []
-    low = _lower(text)
+    low = _folded(_lower(text))
     hits = [(end - n + 1, end + 1, kind) for end, (kind, n) in _automaton().iter(low)]
     found: list[tuple[int, int, str]] = []
 
@@ -221,6 +244,11 @@ def find_personal(text: str | None) -> list[tuple[int, int, str]]:
                 span = m.start(1), m.end()
         if span and free(*span):
             found.append((*span, "person"))
+    for a, b, kind in hits:  # a title and one name, where no longer name was found
+        if kind == "title" and not (a and text[a - 1].isalnum()) and text[a].isupper():
+            m = _TITLED_ONE.match(text, b)
+            if m and len(m.group(2)) > 1 and _style(m.group(2)) == 3 and m.group(2).lower() not in _TITLE_WORDS and free(m.start() + 1, m.end()):
+                found.append((m.start() + 1, m.end(), "person"))
     found.sort()
     return found
 

@@ -61,3 +61,19 @@ def test_operator(spark):
     texts = {r["doc_id"]: r["text"] for r in redacted(df).collect()}
     assert texts[1] == "[EMAIL]" and texts[2] is None and texts[3] == "" and texts[4].endswith("[PERSON]")
     assert personal_information(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("text", "expected"),
+    [
+        ("by Willem van der Berg and Clara de la Cruz.", ["Willem van der Berg", "Clara de la Cruz"]),
+        ("MARIA DE LUCA, Jean d'Arcy", ["MARIA DE LUCA", "Jean d'Arcy"]),
+        ("ask Quinn Li, Clara Wu", ["Quinn Li", "Clara Wu"]),
+        ("José Marin, Léa Dupont, Inés Soto, Tomás Ruiz", ["José Marin", "Léa Dupont", "Inés Soto", "Tomás Ruiz"]),
+        ("Dr. Tarnsen and Herr von Ostberg came", ["Tarnsen", "von Ostberg"]),
+        ("Frau Nasting, Lotte; Dr. Willem van der Berg", ["Nasting, Lotte", "Willem van der Berg"]),
+        ("leon is here, MAX ID 4, Dr. Tarnsen-27, Dr. who", []),
+    ],
+)
+def test_names_with_particles_accents_two_letters_or_a_title(text, expected):
+    assert [text[a:b] for a, b, k in find_personal(text) if k == "person"] == expected
