@@ -1,4 +1,4 @@
-"""Filling containers of fixed capacity: hierarchical packing over a histogram of lengths."""
+"""Filling containers of fixed capacity: best-fit decreasing over a histogram of lengths."""
 
 from __future__ import annotations
 
@@ -25,9 +25,10 @@ BLOCK = 200_000
 def plan_containers(histogram: dict[int, int], capacity: int = CAPACITY, tiers: tuple[int, ...] = TIERS) -> list[tuple[int, list[tuple[int, int]]]]:
     """(number of containers, [(length, items of it in each)]) patterns that hold the whole histogram.
 
-    Tiers are packed from the longest down. The lengths of a tier, longest first, go to the containers with
-    the least room that still fits them (those a longer tier left gaps in come first by their nature);
-    what fits nowhere opens new containers, filled with as many of the same length as go in. All
+    Best-fit decreasing: the lengths, longest first, go to the containers with the least room that still
+    fits them; what fits nowhere opens new containers, filled with as many of the same length as go in.
+    The tiers follow each other from the longest down and share all open containers, so whatever they are,
+    the plan is the same. All
     containers with the same room are handled at once, so the work depends on the number of distinct
     lengths and not on the number of items.
     """

@@ -77,3 +77,9 @@ def test_tokens(spark):
     assert sorted(tuple(r) for r in token_counts(df, "doc_id", "text").collect()) == [(1, 2), (2, 0), (3, 0), (3, 0)]
     long = "line of words\n" * 90_000
     assert abs(count_tokens(long) - len(e.encode_ordinary(long))) <= 4
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.dictionaries(st.integers(1, 50), st.integers(1, 40), max_size=30), st.sets(st.integers(1, 50), max_size=5))
+def test_tiers_are_a_label_only(histogram, tiers):
+    assert plan_containers(histogram, 50, tuple(tiers)) == plan_containers(histogram, 50, ())
