@@ -61,3 +61,25 @@ def connections(adjacent: DataFrame, source: str, target: str | None = None, sou
         return spark.createDataFrame([], "path_no int, depth int, path array<string>, entity string, type string")
     numbered = paths.withColumn("path_no", F.row_number().over(W.orderBy("depth", "rank"))).filter(F.col("path_no") <= limit)
     return numbered.select("path_no", "depth", "path", F.col("entity_name").alias("entity"), F.col("entity_type").alias("type"))
+
+
+def distances(adjacent: DataFrame, source: str, max_depth: int = 3) -> DataFrame:
+    """(entity, type, depth) of every entity within `max_depth` facts of an entity, the source excluded.
+
+    Level by level like `connections`, but without paths and without a cap: a level is a join and an
+    anti-join on the entity, of any size, and nothing is broadcast by hand. Depth is 1 to 10.
+    """
+    max_depth = min(max(1, max_depth), DEFAULTS.graph_depth)
+    key = ["entity_name", "entity_type"]
+    other = adjacent.select("fact_id", "role", F.col("entity_name").alias("name"), F.col("entity_type").alias("type"))
+    frontier = cut_lineage(adjacent.filter(F.col("entity_name") == source.lower()).select(*key).distinct())
+    levels = frontier.withColumn("depth", F.lit(0).cast("long"))
+    for depth in range(1, max_depth + 1):
+        mine = adjacent.join(frontier, key, "left_semi").select("fact_id", F.col("role").alias("own"))
+        steps = mine.join(other, "fact_id").filter("own <> role").select(F.col("name").alias("entity_name"), F.col("type").alias("entity_type")).distinct()
+        frontier = cut_lineage(steps.join(levels.select(*key), key, "left_anti"))
+        if frontier.isEmpty():
+            break
+        levels = levels.unionByName(frontier.withColumn("depth", F.lit(depth).cast("long")))
+    nearest = levels.groupBy(*key).agg(F.min("depth").alias("depth")).filter("depth > 0")
+    return nearest.select(F.col("entity_name").alias("entity"), F.col("entity_type").alias("type"), "depth")

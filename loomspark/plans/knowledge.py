@@ -13,7 +13,7 @@ from loomspark.operators import fragments as fr
 from loomspark.operators import glossary as gl
 from loomspark.operators import points as po
 from loomspark.operators import registry as re_
-from loomspark.operators.graph import connections
+from loomspark.operators.graph import connections, distances
 from loomspark.operators.indexing import fact_payloads, glossary_payloads
 from loomspark.sources.files import change_counts, change_set
 from loomspark.streaming.deltas import event_windows
@@ -126,8 +126,7 @@ def connections_target(spark, sf):
 
 
 def connection_distances(spark, sf):
-    found = connections(fa.adjacency(_clean_facts(spark, sf)), "Marta Ratumoki", max_depth=3, limit=1_000_000)
-    return found.select("entity", "type", F.col("depth").cast("long").alias("depth"))
+    return distances(fa.adjacency(_clean_facts(spark, sf)), "Marta Ratumoki", max_depth=3)
 
 
 def _glossary(spark, sf):

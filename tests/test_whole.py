@@ -93,3 +93,12 @@ def test_lookups_ask_every_row(spark, tmp_path):
     assert linked == {("Zoe", "Bo", "f1"), ("Zoe", "Martin", "f2"), ("Martin", "Zoe", "f2")}
     found = {r["asked"]: r["id"] for r in QUERIES["glossary_lookup_whole"](spark, out).collect()}
     assert found == {f"N{i} {i}": f"g{i}" for i in range(1, 8)} | {"ALIAS 3": "g3", "ALIAS 6": "g6"}
+
+
+def test_distances_have_no_cap(spark, tmp_path):
+    wide = spark.range(10_050).selectExpr("concat('f', id) id", "'Marta Ratumoki' subject", "concat('e', id) object")
+    deep = spark.range(10_050).selectExpr("concat('g', id) id", "concat('E', id) subject", "concat('z', id) object")
+    columns = ["id", "subject", "'Person' subject_type", "'knows' predicate", "object", "'Person' object_type"]
+    wide.unionByName(deep).selectExpr(*columns).write.parquet(f"{tmp_path}/facts.parquet")
+    found = QUERIES["connection_distances"](spark, str(tmp_path)).groupBy("depth").count().collect()
+    assert {r["depth"]: r["count"] for r in found} == {1: 10_050, 2: 10_050}
