@@ -230,12 +230,17 @@ def _points(spark, sf):
     return _read(spark, sf, "documents").select(F.col("doc_id").alias("id"), "lang", "source", "doc_type", "path")
 
 
-def points_upsert(spark, sf):
+def points_upsert(spark, sf, newer="id % 3 = 0"):
     old = _points(spark, sf).filter("id % 2 = 0")
-    new = _points(spark, sf).filter("id % 3 = 0").withColumn("lang", F.lit("xx"))
+    new = _points(spark, sf).filter(newer).withColumn("lang", F.lit("xx"))
     return po.upsert_points(old, new)
 
 
+def points_upsert_whole(spark, sf):
+    """Even points, then all others and some of the even ones."""
+    return points_upsert(spark, sf, "id % 2 <> 0 OR id % 3 = 0")
+
+
 def points_delete_by_filter(spark, sf):
     return po.delete_by_filter(_points(spark, sf), "lang", "en")
 
@@ -309,7 +314,7 @@ QUERIES = {
         fact_delete_cascade, fact_points, connections_all, connections_target, connection_distances, glossary_lookup, glossary_exists, glossary_domains, glossary_list, glossary_collisions, glossary_hashes, glossary_points,
         registry_replace, registry_by_status, registry_update, cache_evict, cache_hits, cache_stats, points_upsert, points_delete_by_filter, points_update_payload, points_scroll, points_retrieve,
         file_changes, file_change_counts, char_spans, byte_spans, fragment_lineage_gaps, fragment_orphans, hourly_events,
-        neighbors_whole, glossary_lookup_whole,
+        neighbors_whole, glossary_lookup_whole, points_upsert_whole,
     )
 }
 
@@ -404,3 +409,4 @@ SELECT parent_id, problem FROM (SELECT parent_id, CASE WHEN a <> n OR b <> n THE
 #: Whole queries: the SQL of the short ones, but for the rows asked.
 SQL["neighbors_whole"] = SQL["neighbors"].replace("subject LIKE 'Ma%' OR subject LIKE 'Granary%'", "subject IS NOT NULL")
 SQL["glossary_lookup_whole"] = SQL["glossary_lookup"].replace(" WHERE k % 5 = 0", "")
+SQL["points_upsert_whole"] = SQL["points_upsert"].replace("FROM points WHERE id % 3 = 0", "FROM points WHERE id % 2 <> 0 OR id % 3 = 0")

@@ -130,25 +130,35 @@ def codebase_frequencies(spark, sf):
     return voc.corpus_frequencies(docs(spark, sf))
 
 
-def vocab_register(spark, sf):
+def vocab_register(spark, sf, then="doc_id % 3 = 0"):
     d = docs(spark, sf)
     first = state(spark, sf, "doc_id % 2 = 0")
-    some = d.filter("doc_id % 3 = 0")
+    some = d.filter(then)
     return voc.register(first, voc.corpus_frequencies(some), voc.corpus_sizes(some), check=True).vocabulary
 
 
+def vocab_register_whole(spark, sf):
+    """Even documents, then all others."""
+    return vocab_register(spark, sf, "doc_id % 2 <> 0")
+
+
 def vocab_unregister(spark, sf):
     return voc.unregister(state(spark, sf), "granary-monorepo").vocabulary
 
 
-def vocab_incremental(spark, sf):
+def vocab_incremental(spark, sf, added="doc_id % 5 = 1"):
     d = docs(spark, sf)
-    up, down = d.filter("doc_id % 5 = 1"), d.filter("doc_id % 4 = 1")
+    up, down = d.filter(added), d.filter("doc_id % 4 = 1")
     net = voc.corpus_sizes(up).select("codebase_id", F.col("doc_count").alias("change")).unionByName(voc.corpus_sizes(down).select("codebase_id", (-F.col("doc_count")).alias("change"))).groupBy("codebase_id").agg(F.sum("change").alias("change"))
     after = voc.incremental(state(spark, sf, "doc_id % 2 = 0"), voc.corpus_frequencies(up), voc.corpus_frequencies(down), net)
     return after.contributions.join(after.vocabulary.select("token", "idx", F.col("doc_freq").alias("total")), "token").select("codebase_id", "token", "doc_freq", "idx", "total")
 
 
+def vocab_incremental_whole(spark, sf):
+    """Even documents, then all others added, of which some are taken away."""
+    return vocab_incremental(spark, sf, "doc_id % 2 <> 0")
+
+
 def _given_state(spark, sf) -> voc.State:
     """The vocabulary tables as they are given; of repeated rows one, of a corpus's counts the latest."""
     c = _read(spark, sf, "codebase_contributions").filter("token IS NOT NULL AND doc_freq > 0").dropDuplicates(["codebase_id", "token"])
@@ -358,7 +368,7 @@ QUERIES = {
         vocab_incremental, vocab_rebuild, vocab_codebase_ids, vocab_lost_counts, vocab_stats, vocab_totals, index_to_token, tf_vectors, idf_query, fuzzy_tokens,
         dense_topk, dense_topk_filtered, dense_topk_all_queries, sparse_topk, sparse_topk_filtered, hybrid_weighted, hybrid_equal, hybrid_grouped, rrf_three_lists, fuse_two_lists, lexical_topk,
         idf_query_whole, dense_topk_whole, dense_topk_filtered_whole, sparse_topk_whole, sparse_topk_filtered_whole, hybrid_weighted_whole, hybrid_equal_whole, hybrid_grouped_whole, lexical_topk_whole,
-        index_to_token_whole, fuzzy_tokens_whole,
+        index_to_token_whole, fuzzy_tokens_whole, vocab_register_whole, vocab_incremental_whole,
     )
 }
 
@@ -511,3 +521,5 @@ SELECT query_id, id, rank, round(score, 6) AS score FROM (SELECT *, row_number()
 SQL |= {f"{k}_whole": SQL[k].replace(f"IN {QUERY_IDS}", "% 100 = 0").replace("substr(text, 1, 300)", "text") for k in ("idf_query", "dense_topk", "dense_topk_filtered", "lexical_topk")}
 SQL["index_to_token_whole"] = SQL["index_to_token"].replace(" WHERE idx % 7 = 3", "")
 SQL["fuzzy_tokens_whole"] = SQL["fuzzy_tokens"].replace("idx % 40 = 0 AND length(token) > 4", "idx % 100 = 0")
+SQL["vocab_register_whole"] = SQL["vocab_register"].replace("doc_id % 3 = 0", "doc_id % 2 <> 0")
+SQL["vocab_incremental_whole"] = SQL["vocab_incremental"].replace("doc_id % 5 = 1", "doc_id % 2 <> 0")

@@ -102,3 +102,14 @@ def test_distances_have_no_cap(spark, tmp_path):
     wide.unionByName(deep).selectExpr(*columns).write.parquet(f"{tmp_path}/facts.parquet")
     found = QUERIES["connection_distances"](spark, str(tmp_path)).groupBy("depth").count().collect()
     assert {r["depth"]: r["count"] for r in found} == {1: 10_050, 2: 10_050}
+
+
+def test_transitions_cover_the_table(spark, tmp_path):
+    out = str(tmp_path)
+    docs = [(i, f"{w} shared", "en", f"s{i}", "note", "x") for i, w in enumerate(["zero", "one", "two", "three", "four", "five", "six", "seven"])]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, doc_type string, path string").write.parquet(f"{out}/documents.parquet")
+    every = {w.split()[0] for _, w, *_ in docs} | {"shared"}
+    assert {r["token"]: r["doc_freq"] for r in QUERIES["vocab_register_whole"](spark, out).collect()} == {w: 8 if w == "shared" else 1 for w in every}
+    # 1 and 5 are added and taken away again.
+    assert {(r["codebase_id"], r["token"]) for r in QUERIES["vocab_incremental_whole"](spark, out).collect()} == {(f"s{i}", w) for i, t, *_ in docs if i not in (1, 5) for w in t.split()}
+    assert {r["id"]: r["lang"] for r in QUERIES["points_upsert_whole"](spark, out).collect()} == {i: "xx" if i % 2 or i % 3 == 0 else "en" for i in range(8)}
