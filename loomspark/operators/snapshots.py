@@ -38,10 +38,12 @@ def _digests(states: DataFrame) -> DataFrame:
     """(group, snapshot, leaf, a, b, n): two digests of the rows of each leaf range, and their number.
 
     A digest is the exclusive or of the rows' 64-bit hashes. Paths are unique in a snapshot, so equal rows
-    never cancel out; digests of any number of rows combine in any order and never overflow.
+    never cancel out; digests of any number of rows combine in any order and never overflow. The hash
+    function skips nulls, so each value goes in with a mark of whether it is one.
     """
-    row = F.xxhash64("path", "hash", "size", "mtime")
-    other = F.xxhash64(F.lit(31), "mtime", "size", "hash", "path")
+    marked = [c for name in ("hash", "size", "mtime") for c in (F.col(name).isNull(), F.col(name))]
+    row = F.xxhash64("path", *marked)
+    other = F.xxhash64(F.lit(31), *reversed(marked), "path")
     return states.groupBy(*KEY, "leaf").agg(F.bit_xor(row).alias("a"), F.bit_xor(other).alias("b"), F.count(F.lit(1)).alias("n"))
 
 

@@ -6,6 +6,7 @@ from collections import Counter
 
 import pytest
 
+from loomspark.operators.snapshots import snapshot_changes
 from loomspark.plans.core import QUERIES
 
 #: Texts by id; the words at the end of 0 and 100 lie behind character 300.
@@ -113,3 +114,9 @@ def test_transitions_cover_the_table(spark, tmp_path):
     # 1 and 5 are added and taken away again.
     assert {(r["codebase_id"], r["token"]) for r in QUERIES["vocab_incremental_whole"](spark, out).collect()} == {(f"s{i}", w) for i, t, *_ in docs if i not in (1, 5) for w in t.split()}
     assert {r["id"]: r["lang"] for r in QUERIES["points_upsert_whole"](spark, out).collect()} == {i: "xx" if i % 2 or i % 3 == 0 else "en" for i in range(8)}
+
+
+def test_null_and_zero_differ_in_snapshots(spark):
+    columns = "group string, snapshot int, path string, at int, hash binary, size long, mtime double"
+    lists = spark.createDataFrame([("g", 1, "a", 1, None, 0, None), ("g", 2, "a", 2, None, None, 0.0), ("g", 1, "b", 1, None, 1, 1.0), ("g", 2, "b", 2, None, 1, 1.0)], columns)
+    assert [tuple(r) for r in snapshot_changes(lists).collect()] == [("g", "a", 2, "changed")]
