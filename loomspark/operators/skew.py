@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 #: A key with this many rows is hot.
 HOT_ROWS = 200_000
-#: At most so many hot keys are broadcast; the rest go through the shuffle like any other key.
-MAX_HOT = 1_000
+#: At most so many hot keys are broadcast. Keys come by falling count, so the next one holds less than a
+#: ten-thousandth of all rows and is no larger than an ordinary task's share; it goes through the shuffle.
+MAX_HOT = 10_000
 
 
 def attach_by_key(
