@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomspark.functions.text import literal_tokens
 from loomspark.llm import canonical, distinctive, frequency, leakage, packing, privacy, ranking, splitting, tokens, usable
 from loomspark.session import spread
 
@@ -57,7 +58,7 @@ def p4_terms(spark: SparkSession, sf: str) -> DataFrame:
     raw = _read(spark, sf, "codebase_contributions")
     counts = usable.usable_counts(raw).withColumn("terms", F.array("term"))
     codebases = raw.agg(F.count_distinct("codebase_id")).first()[0]
-    grams = frequency.ngram_frequencies(counts, "record", "terms", "n", max_n=1)
+    grams = frequency.ngram_frequencies(counts, "record", "terms", "n", max_n=1, disjoint=True)
     mark = F.when(F.col("n") < 3, "too_rare").when(F.col("records") * 2 > codebases, "too_common")
     return grams.select(F.col("gram").alias("token"), F.col("n").alias("total"), F.col("records").alias("codebases"), mark.alias("mark"))
 
@@ -66,6 +67,12 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return p4_terms(spark, sf).filter("mark IS NOT NULL").select("token", "mark")
 
 
+def p4_grams(spark: SparkSession, sf: str) -> DataFrame:
+    """(gram, n, records): every run of up to three words of the documents."""
+    words = _documents(spark, sf).select("doc_id", literal_tokens("text").alias("words"))
+    return frequency.ngram_frequencies(words, "doc_id", "words", max_n=3, disjoint=True)
+
+
 def p6_ranking(spark: SparkSession, sf: str) -> DataFrame:
     points = ranking.current_scores(_read(spark, sf, "search_results"))
     return ranking.ranked(ranking.ideal_point_closeness(points)).select("query_id", "point_id", "closeness", "rank")
@@ -99,7 +106,7 @@ def p10_redacted(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_pieces, p2_found, p2_scores, p3_found, p3_facts, p4_found, p4_terms, p6_found, p6_ranking, p8_packed, p9_found, p9_leaks, p10_found, p10_redacted)
+    for f in (p1_found, p1_pieces, p2_found, p2_scores, p3_found, p3_facts, p4_found, p4_terms, p4_grams, p6_found, p6_ranking, p8_packed, p9_found, p9_leaks, p10_found, p10_redacted)
 }
 
 _USABLE = """
@@ -147,6 +154,12 @@ SQL: dict[str, str] = {
     "p3_facts": _CANONICAL + "SELECT id, subject, predicate, object, copies FROM (SELECT *, count(*) OVER (PARTITION BY k) AS copies, row_number() OVER (PARTITION BY k ORDER BY id) AS r FROM keyed) WHERE r = 1",
     "p4_found": f"WITH {_USABLE} SELECT token, CASE WHEN sum(doc_freq) < 3 THEN 'too_rare' ELSE 'too_common' END AS mark FROM usable GROUP BY token HAVING sum(doc_freq) < 3 OR count(DISTINCT codebase_id) * 2 > (SELECT count(DISTINCT codebase_id) FROM codebase_contributions)",
     "p4_terms": f"WITH {_USABLE} SELECT token, CAST(sum(doc_freq) AS BIGINT) AS total, count(DISTINCT codebase_id) AS codebases, CASE WHEN sum(doc_freq) < 3 THEN 'too_rare' WHEN count(DISTINCT codebase_id) * 2 > (SELECT count(DISTINCT codebase_id) FROM codebase_contributions) THEN 'too_common' END AS mark FROM usable GROUP BY token",
+    "p4_grams": """
+WITH d AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[A-Za-z0-9_]+'), lambda x: lower(x)) AS w FROM documents),
+spots AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d WHERE len(w) > 0),
+g AS (SELECT doc_id, array_to_string(w[i : i + k - 1], ' ') AS gram FROM spots, (SELECT unnest([1, 2, 3]) AS k) WHERE i + k - 1 <= len(w))
+SELECT gram, count(*) AS n, count(DISTINCT doc_id) AS records FROM g GROUP BY 1
+""",
     "p6_found": """
 WITH last AS (
   SELECT query_id, point_id, scorer, score FROM (

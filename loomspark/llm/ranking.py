@@ -2,24 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from loomspark.operators.skew import HOT_ROWS, attach_by_key
+from loomspark.session import cut_lineage
 
 #: The scorers of the search results, and their weights when the caller names none.
 SCORERS = ("dense", "sparse", "lexical", "rerank")
 #: Closeness is ranked within this many ranges of a query, so that no query is sorted in one task.
 RANGES = 1024
-#: A task looks for leaders among at most about so many points at once.
-BLOCK = 50_000
-#: So many of the first points of the ranking are tried against all others before anything else.
-PIVOTS = 8
+#: Closeness and its floors are compared with this much room for rounding.
+SLACK = 1e-6
 
 
 def current_scores(df: DataFrame, scorers: tuple[str, ...] = SCORERS) -> DataFrame:
@@ -38,12 +35,13 @@ def current_scores(df: DataFrame, scorers: tuple[str, ...] = SCORERS) -> DataFra
 def ideal_point_closeness(
     points: DataFrame, scorers: tuple[str, ...] = SCORERS, weights: tuple[float, ...] | None = None, tail: float = 0.05, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
-    """`points` with `closeness` (0 to 1, six decimals kept exact) and `points_n`, the size of the query.
+    """`points` with `closeness` (0 to 1, nine decimals), `floor` and `points_n`, the size of the query.
 
     Per query, each scorer's scores are winsorised to their `tail` and 1 - `tail` quantiles and divided by
     their Euclidean norm, so no range rules. A missing score counts as the worst one. closeness is
     d_worst / (d_worst + d_best) for the weighted distances to the best and the worst value of each scorer;
-    where all points are alike it is 0.5. Quantiles are approximate with relative rank error 1e-4: exact up
+    where all points are alike it is 0.5. floor is the least closeness of any point that is at least as
+    good as this one in all scorers but one. Quantiles are approximate with relative rank error 1e-4: exact up
     to 10,000 points a query.
     """
     weights = weights or tuple(1.0 for _ in scorers)
@@ -55,13 +53,23 @@ def ideal_point_closeness(
     norms = clipped.groupBy("__k").agg(F.count(F.lit(1)).alias("__n"), *[F.sqrt(F.sum(F.pow(f"__w_{s}", F.lit(2.0)))).alias(f"__norm_{s}") for s in scorers])
     rows = attach_by_key(clipped, norms, ["__k"], "__n", ["point_id"], hot_rows=hot_rows)
 
-    def distance(end: int):
-        parts = [F.coalesce(F.pow(F.lit(w) * (F.col(f"__w_{s}") - F.element_at(f"__q_{s}", end)) / F.nullif(F.col(f"__norm_{s}"), F.lit(0.0)), F.lit(2.0)), F.lit(0.0)) for s, w in zip(scorers, weights)]
-        return F.sqrt(sum(parts[1:], parts[0]))
+    def parts(of) -> list[Column]:
+        scaled = lambda s: F.coalesce(F.pow(F.lit(weights[scorers.index(s)]) * of(s) / F.nullif(F.col(f"__norm_{s}"), F.lit(0.0)), F.lit(2.0)), F.lit(0.0))
+        return [scaled(s) for s in scorers]
 
-    best, worst = distance(2), distance(1)
-    closeness = F.round(F.coalesce(worst / F.nullif(best + worst, F.lit(0.0)), F.lit(0.5)), 9)
-    return rows.withColumn("closeness", closeness).select(*points.columns, "points_n", "closeness")
+    def share(far: Column, near: Column) -> Column:
+        far, near = F.sqrt(F.greatest(far, F.lit(0.0))), F.sqrt(near)
+        return far / F.nullif(far + near, F.lit(0.0))
+
+    low, high = (lambda s: F.element_at(f"__q_{s}", 1)), (lambda s: F.element_at(f"__q_{s}", 2))
+    names = [(f"__near_{s}", f"__far_{s}", f"__all_{s}") for s in scorers]
+    measured = zip(parts(lambda s: high(s) - F.col(f"__w_{s}")), parts(lambda s: F.col(f"__w_{s}") - low(s)), parts(lambda s: high(s) - low(s)))
+    rows = rows.withColumns({n: c for three, columns in zip(names, measured) for n, c in zip(three, columns)})
+    near, far = (reduce(Column.__add__, [F.col(three[i]) for three in names]) for i in (0, 1))
+    closeness = F.round(F.coalesce(share(far, near), F.lit(0.5)), 9)
+    # As good in all scorers but one, and there the worst.
+    floors = [F.coalesce(share(far - F.col(f), near - F.col(n) + F.col(a)), F.lit(0.0)) for n, f, a in names]
+    return rows.withColumns({"closeness": closeness, "floor": F.least(*floors) if len(floors) > 1 else floors[0]}).select(*points.columns, "points_n", "closeness", "floor")
 
 
 def ranked(scored: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -82,112 +90,52 @@ def ranked(scored: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     return placed.withColumn("rank", F.col("__before") + 1).select(*scored.columns, "rank")
 
 
-def _ahead(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For each row, the largest b among the rows with a strictly larger a (minus infinity: none)."""
-    order = np.argsort(-a, kind="stable")
-    x = a[order]
-    best = np.maximum.accumulate(b[order])
-    first = np.searchsorted(-x, -x, side="left")
-    out = np.full(len(a), -np.inf)
-    out[order] = np.where(first > 0, best[np.maximum(first - 1, 0)], -np.inf)
-    return out
-
-
-def _reduce(scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(leader, edge) of the rows: nobody ahead in two columns; and on the staircase of some pair of columns."""
-    n, k = scores.shape
-    leader, edge = np.ones(n, bool), np.zeros(n, bool)
-    for i in range(k):
-        for j in range(i + 1, k):
-            beaten = _ahead(scores[:, i], scores[:, j]) > scores[:, j]
-            leader &= ~beaten
-            edge |= ~beaten
-    return leader, edge
-
-
-def _leaders(scores: np.ndarray, closeness: np.ndarray) -> np.ndarray:
-    """The rows that nobody is ahead of in two columns.
+def _ahead(points: DataFrame, k: int) -> DataFrame:
+    """(query_id, scorer, value, n, a0, a1, ...) for every value that a scorer gave in a query.
 
-    The ranking names the likely winners: its first rows dismiss nearly all others at once, and only what
-    is left is compared with every row.
+    n points have the value, and a_j is the largest score of scorer j among the points of the query with a
+    strictly larger value of this scorer (null: none). Points of one value are combined first. The values
+    are sorted over range partitions, so neither a large query nor a tie is one task; what a partition
+    needs to know of those before it is one row of maxima per query and scorer in it.
     """
-    first = np.argsort(-closeness, kind="stable")[:PIVOTS]
-    left = np.flatnonzero(((scores[first][:, None, :] > scores[None, :, :]).sum(2) < 2).all(0))
-    if len(left) * len(scores) > 4_000_000:
-        return _reduce(scores)[0]
-    out = np.zeros(len(scores), bool)
-    out[left] = ((scores[:, None, :] > scores[left][None, :, :]).sum(2) < 2).all(0)
-    return out
-
-
-def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
-    """The runs of equal values in the first `keys` columns of a sorted stream, one at a time."""
-    rest: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        codes = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(keys)], 1)
-        cuts = [0, *(np.flatnonzero((codes[1:] != codes[:-1]).any(1)) + 1), batch.num_rows]
-        if rest and any(rest[-1].column(i)[-1].as_py() != batch.column(i)[0].as_py() for i in range(keys)):
-            yield pa.Table.from_batches(rest)
-            rest = []
-        for a, b in zip(cuts, cuts[1:]):
-            rest.append(batch.slice(a, b - a))
-            if b < batch.num_rows:
-                yield pa.Table.from_batches(rest)
-                rest = []
-    if rest:
-        yield pa.Table.from_batches(rest)
-
-
-def clear_leaders(ranking: DataFrame, scorers: tuple[str, ...] = SCORERS, least: int = 3, block: int = BLOCK) -> DataFrame:
+    best = [f"m{j}" for j in range(k)]
+    sides = F.array(*[F.struct(F.lit(i).alias("scorer"), F.col(f"s{i}").alias("value")) for i in range(k)])
+    each = points.select("query_id", *[F.col(f"s{j}").alias(f"m{j}") for j in range(k)], F.explode(sides).alias("side"))
+    values = each.groupBy("query_id", "side.scorer", "side.value").agg(F.count(F.lit(1)).alias("n"), *[F.max(m).alias(m) for m in best])
+    order = ["query_id", "scorer", F.desc("value")]
+    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut_lineage(values.repartitionByRange(max(1, parts), *order).withColumn("part", F.spark_partition_id()))
+    key = ["part", "query_id", "scorer"]
+    above = W.partitionBy(*key).orderBy(F.desc("value")).rowsBetween(W.unboundedPreceding, -1)
+    earlier = W.partitionBy("query_id", "scorer").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    carried = ranged.groupBy(*key).agg(*[F.max(m).alias(m) for m in best]).select(*key, *[F.max(m).over(earlier).alias(f"c{m}") for m in best])
+    within = ranged.select(*key, "value", "n", *[F.max(m).over(above).alias(m) for m in best])
+    return within.join(carried, key).select("query_id", "scorer", "value", "n", *[F.greatest(m, f"c{m}").alias(f"a{j}") for j, m in enumerate(best)])
+
+
+def clear_leaders(ranking: DataFrame, scorers: tuple[str, ...] = SCORERS, least: int = 3, hot_rows: int = HOT_ROWS) -> DataFrame:
     """The points with `least` or more scores that no other point of the query beats in two scorers.
 
-    A score beats a lower one and a missing one. `ranking` is as of ideal_point_closeness: its first points
-    dismiss most others, the rest is checked exactly. A query of more than `block` points is worked off in
-    blocks: each keeps its own leaders and, for each pair of scorers, its staircase (the points nobody in
-    the block beats in both); a point that anyone beats is also beaten by a point on a staircase, so the
-    blocks' survivors decide the query. No pairs of points are formed beyond a block; the survivors of a
-    block are few unless nearly all points are tied. Rows without a query or point are left out.
+    A score beats a lower one and a missing one. `ranking` is as of ideal_point_closeness, with the same
+    scorers. Only points near enough to the ideal can lead: whatever point q is taken, a leader is at least
+    as good as q in all scorers but one, so its closeness is no less than the floor of q, and the points
+    below the highest floor of their query are out. Those left are checked exactly by sweeps over the
+    values of each scorer (see _ahead). No pairs of points are formed. Rows without a query or point are
+    left out, repeated points are judged each but don't beat themselves.
     """
     k = len(scorers)
-    columns = [F.coalesce(F.col(s).cast("double"), F.lit(float("-inf"))).alias(f"s{i}") for i, s in enumerate(scorers)]
-    own = ranking.filter("query_id IS NOT NULL AND point_id IS NOT NULL").select(
-        F.col("query_id").cast("long").alias("query_id"), F.pmod(F.xxhash64("point_id"), F.ceil(F.col("points_n") / block)).alias("block"), F.col("point_id").cast("long").alias("point_id"),
-        (F.col("points_n") <= block).alias("whole"), "closeness", *columns,
-    )
-    fields = [("query_id", pa.int64()), ("point_id", pa.int64()), ("open", pa.bool_()), ("leader", pa.bool_()), ("closeness", pa.float64()), *[(f"s{i}", pa.float64()) for i in range(k)]]
-    schema = pa.schema(fields)
-    ddl = "query_id long, point_id long, open boolean, leader boolean, closeness double, " + ", ".join(f"s{i} double" for i in range(k))
-
-    def matrix(t: pa.Table) -> np.ndarray:
-        return np.stack([t.column(f"s{i}").to_numpy() for i in range(k)], 1)
-
-    def made(t: pa.Table, keep: np.ndarray, is_open: bool, leader: np.ndarray) -> pa.RecordBatch:
-        at = pa.array(np.flatnonzero(keep))
-        flags = [pa.array(np.full(len(at), is_open)), pa.array(leader[keep])]
-        return pa.RecordBatch.from_arrays([t.column(c).take(at).combine_chunks() for c in ("query_id", "point_id")] + flags + [t.column(c).take(at).combine_chunks() for c in ("closeness", *[f"s{i}" for i in range(k)])], schema=schema)
-
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _groups(batches, 2):
-            scores = matrix(t)
-            if t.column("whole")[0].as_py():
-                leader = _leaders(scores, t.column("closeness").to_numpy())
-                keep = leader & (np.isfinite(scores).sum(1) >= least)
-                if keep.any():
-                    yield made(t, keep, False, leader)
-            else:
-                leader, edge = _reduce(scores)
-                yield made(t, edge, True, leader)
-
-    def queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _groups(batches, 1):
-            if not t.column("open")[0].as_py():
-                yield from t.select(["query_id", "point_id"]).to_batches()
-                continue
-            scores = matrix(t)
-            keep = _leaders(scores, t.column("closeness").to_numpy()) & t.column("leader").to_numpy(zero_copy_only=False) & (np.isfinite(scores).sum(1) >= least)
-            yield from t.select(["query_id", "point_id"]).filter(pa.array(keep)).to_batches()
-
-    survivors = own.repartition("query_id", "block").sortWithinPartitions("query_id", "block").mapInArrow(blocks, ddl)
-    return survivors.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(queries, "query_id long, point_id long")
+    score = [F.coalesce(F.col(s).cast("double"), F.lit(float("-inf"))).alias(f"s{i}") for i, s in enumerate(scorers)]
+    own = ranking.filter("query_id IS NOT NULL AND point_id IS NOT NULL").select("query_id", "point_id", "closeness", "floor", *score)
+    floors = own.groupBy("query_id").agg(F.count(F.lit(1)).alias("__n"), F.max("floor").alias("__floor"))
+    given = sum([(F.col(f"s{i}") > float("-inf")).cast("int") for i in range(1, k)], (F.col("s0") > float("-inf")).cast("int"))
+    near = attach_by_key(own.filter(given >= least), floors, ["query_id"], "__n", ["point_id"], hot_rows=hot_rows)
+    near = near.filter(F.col("closeness") >= F.col("__floor") - SLACK)
+    sides = F.array(*[F.struct(F.lit(i).alias("scorer"), F.col(f"s{i}").alias("value")) for i in range(k)])
+    asked = near.select("query_id", "point_id", *[f"s{j}" for j in range(k)], F.explode(sides).alias("side"))
+    asked = asked.select("query_id", "point_id", "side.scorer", "side.value", *[f"s{j}" for j in range(k)])
+    met = attach_by_key(asked, _ahead(own, k), ["query_id", "scorer", "value"], "n", ["point_id"], hot_rows=hot_rows)
+    lost = [F.coalesce(F.col(f"a{j}") > F.col(f"s{j}"), F.lit(False)) & (F.col("scorer") != j) for j in range(k)]
+    beaten = lost[0]
+    for c in lost[1:]:
+        beaten = beaten | c
+    return met.groupBy("query_id", "point_id").agg(F.bool_or(beaten).alias("beaten")).filter("NOT beaten").select("query_id", "point_id")

@@ -2,6 +2,8 @@ import math
 import random
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from loomspark.llm.canonical import collapse_variants, variant_members
 from loomspark.llm.ranking import clear_leaders, current_scores, ideal_point_closeness, ranked
 
@@ -121,5 +123,18 @@ def test_leaders(spark):
             expected.add((q, p))
     assert expected
     table = closeness(spark, data)
-    for block in (7, 50_000):
-        assert {tuple(r) for r in clear_leaders(table, block=block).collect()} == expected
+    for hot in (7, 50_000):
+        assert {tuple(r) for r in clear_leaders(table, hot_rows=hot).collect()} == expected
+
+
+def test_leaders_come_from_the_ranking(spark):
+    data = [(1, s, p, float(p * 10**k + k), 1) for p in range(50) for k, s in enumerate(S)]
+    table = closeness(spark, data)
+    assert clear_leaders(table).count() == 1
+    assert clear_leaders(table.withColumn("closeness", F.lit(0.0))).count() == 0
+
+
+def test_leaders_of_opposed_scorers(spark):
+    # Nobody is ahead of anybody in two scorers but for the third, in which all are alike.
+    data = [(1, s, p, float(v), 1) for p in range(300) for s, v in (("dense", p), ("sparse", -p), ("lexical", 5))]
+    assert clear_leaders(closeness(spark, data)).count() == 300

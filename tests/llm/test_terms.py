@@ -74,10 +74,29 @@ def test_ngrams(spark):
     rows += [("r9", None, 1), ("r9", [], 1)]
     df = spark.createDataFrame([(*r, "z", 5) for r in rows], "record string, terms array<string>, w long, gram string, n int")
     for most in (1, 2, 3):
-        for salts in (1, 4):
-            got = {r["gram"]: (r["n"], r["records"]) for r in ngram_frequencies(df, "record", "terms", "w", most, salts).collect()}
+        for salts in (1, 4):  # a first term is spread over several tasks, or not
+            got = {r["gram"]: (r["n"], r["records"]) for r in ngram_frequencies(df, "record", "terms", "w", most, hot_rows=40 // salts).collect()}
             assert got == brute(rows, most)
     assert ngram_frequencies(df.limit(0), "record", "terms").count() == 0
     hot = spark.range(3000).selectExpr("cast(id as string) AS record", "array('hot', if(id % 3 = 0, 'x', 'y')) AS terms")
     got = {r["gram"]: (r["n"], r["records"]) for r in ngram_frequencies(hot, "record", "terms", None, 2).collect()}
     assert got == {"hot": (3000, 3000), "x": (1000, 1000), "y": (2000, 2000), "hot x": (1000, 1000), "hot y": (2000, 2000)}
+
+
+def test_ngrams_of_whole_records(spark):
+    rng = random.Random(4)
+    rows = [(None if i == 7 else i, [rng.choice(["a", "b", "ab", "é", None, ""]) for _ in range(rng.randrange(14))], rng.choice([1, 2, None])) for i in range(60)]
+    df = spark.createDataFrame([*rows, (90, None, 1), (91, [], 1)], "record long, terms array<string>, w long")
+    for most in (1, 2, 3):
+        for hot in (10, 10_000):
+            each = df if most > 1 else df.selectExpr("record", "w", "explode(terms) t").groupBy("record", "t").agg({"w": "sum"}).selectExpr("record", "array(t) terms", "`sum(w)` w")
+            got = {r["gram"]: (r["n"], r["records"]) for r in ngram_frequencies(each, "record", "terms", "w", most, hot_rows=hot, disjoint=True).collect()}
+            assert got == brute(rows, most)
+    assert ngram_frequencies(df.limit(0), "record", "terms", max_n=3, disjoint=True).count() == 0
+
+
+def test_scores_with_sizes_that_are_not_broadcast(spark):
+    counts = spark.createDataFrame([(f"r{i}", f"t{i % 7}", i + 1) for i in range(40)], "record string, term string, n long")
+    sizes = spark.createDataFrame([(f"r{i}", 50 + i) for i in range(30)], "record string, size long")
+    rows = lambda small: sorted(tuple(r) for r in distinctive_terms(counts, sizes, small=small).select("record", "term", "pmi", "ppmi").collect())
+    assert rows(0) == rows(100) and len(rows(0)) == 30
