@@ -46,3 +46,20 @@ def attach_by_key(
     if how == "inner":
         joined = joined.filter(value.isNotNull())
     return joined.withColumn("__v", value).select(*[joined[c] for c in rows.columns], *[F.col(f"__v.{c}").alias(c) for c in values])
+
+
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], spread: list[str], hot_rows: int = HOT_ROWS, max_hot: int = MAX_HOT) -> DataFrame:
+    """The inner join of two tables on `keys`, where one key may hold a large part of the rows of `left`.
+
+    `right` may have several rows per key. The at most `max_hot` keys with `hot_rows` or more rows on the
+    left are known by a broadcast of that bound; a left row of such a key goes to one of as many shares
+    as the key has parts of that size, by a hash of the `spread` columns, and the right rows of the key to
+    each of them. All other rows are joined on the key alone. Null keys match nothing.
+    """
+    known = left.dropna(subset=keys)
+    hot = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= hot_rows).orderBy(F.desc("__n"), *keys).limit(max_hot)
+    hot = F.broadcast(hot.select(*keys, F.ceil(F.col("__n") / F.lit(hot_rows)).cast("int").alias("__shares")))
+    shares = F.coalesce("__shares", F.lit(1))
+    own = known.join(hot, keys, "left").withColumn("__salt", F.pmod(F.xxhash64(*spread), shares).cast("int")).drop("__shares")
+    other = right.join(hot, keys, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), shares - 1))).drop("__shares")
+    return own.join(other, [*keys, "__salt"]).drop("__salt")
