@@ -3,21 +3,31 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomspark.operators.skew import HOT_ROWS, salted_join
+from loomspark.session import cut_lineage
+
 #: Successive words that make a leak, and edits of words that the search tolerates in them.
 WINDOW, EDITS = 12, 2
 #: Independent random walks, hash tables per walk, sampled positions per table.
-WALKS, TABLES, SAMPLED = 5, 4, 8
-#: At most so many item windows are broadcast at once; larger item sets are worked off in blocks.
-ITEM_WINDOWS = 400_000
+WALKS, TABLES, SAMPLED = 8, 4, 8
+#: Successive words of which a filter knows those of the items, and the bounds of its size in bits (as powers of two).
+GRAM = 3
+LEAST_BITS, MOST_BITS = 16, 28
+#: Characters of text that are searched at once, at most (or one text).
+SLICE = 4_000_000
+#: A process remembers the hashes of so many words.
+REMEMBERED = 1_000_000
 
 _WORD = re.compile(r"[^\W_]+")
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(text: str | None) -> list[str]:
@@ -25,204 +35,224 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
-class LeakIndex:
-    """The windows of a set of items, hashed for a search that tolerates `edits` word edits.
+class _Hashes(dict):
+    """64-bit hashes of words."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        own = self[word] = xxhash.xxh64_intdigest(word)
+        return own
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that spreads every bit."""
+    x = (x ^ (x >> np.uint64(31))) * _MIX
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
 
-    Words are symbols. The random walk of a window goes through its words for three times their number of
-    steps, at each step staying or moving on by a bit that the word and the step decide; the symbols it
-    visits form a string in which edits have become substitutions, nearly in place. A hash table samples
-    some positions of that string. Equal windows have equal walks and so meet in every table.
+def _grams(words: np.ndarray) -> np.ndarray:
+    """A hash of each run of GRAM words; the runs that begin too late for that are left out."""
+    n = max(0, len(words) - GRAM + 1)
+    out = np.zeros(n, np.uint64)
+    for k in range(GRAM):
+        out = _mixed(out ^ words[k : k + n])
+    return out
+
+
+def walks(windows: np.ndarray, seed: int = 11) -> np.ndarray:
+    """(windows, WALKS * TABLES) keys of windows, one row of word hashes each.
+
+    A walk goes through the words of a window for three times their number of steps, at each step staying
+    or moving on by a bit that the word and the step decide; the words it is at form a string in which
+    edits have become substitutions, nearly in place. A table samples some positions of that string.
+    Equal windows have equal walks and so meet in every table.
     """
+    n, width = windows.shape
+    rng = np.random.default_rng(seed)
+    steps = 3 * width
+    padded = np.concatenate([windows, np.zeros((n, 1), np.uint64)], 1)
+    rows = np.arange(n)
+    keys = np.empty((n, WALKS * TABLES), np.uint64)
+    for walk in range(WALKS):
+        salts = rng.integers(1, 2**63 - 1, steps).astype(np.uint64)
+        sampled = [set(rng.choice(steps, SAMPLED, replace=False).tolist()) for _ in range(TABLES)]
+        own = [np.full(n, walk * TABLES + t + 1, np.uint64) for t in range(TABLES)]
+        at = np.zeros(n, np.int64)
+        for step in range(steps):
+            word = padded[rows, at]
+            for t, positions in enumerate(sampled):
+                if step in positions:
+                    own[t] = _mixed(own[t] ^ word)
+            at = np.minimum(width, at + (_mixed(word ^ salts[step]) & np.uint64(1)).astype(np.int64))
+        for t in range(TABLES):
+            keys[:, walk * TABLES + t] = own[t]
+    return keys
+
+
+def edit_distances(a: np.ndarray, b: np.ndarray, edits: int) -> np.ndarray:
+    """The edit distance in words of the windows in equal rows; any number above `edits` for those farther apart."""
+    n, w = a.shape
+    # Fewer than w - edits words that have an equal one at most `edits` places away: too far apart.
+    close = np.zeros(a.shape, bool)
+    for shift in range(-edits, edits + 1):
+        x, y = slice(max(0, shift), w + min(0, shift)), slice(max(0, -shift), w - max(0, shift))
+        close[:, x] |= a[:, x] == b[:, y]
+    out = np.full(n, w)
+    worth = np.flatnonzero(close.sum(1) >= w - edits)
+    a, b = a[worth], b[worth]
+    row = np.repeat(np.arange(w + 1)[None], len(worth), 0)
+    for i in range(w):
+        new = np.empty_like(row)
+        new[:, 0] = i + 1
+        for j in range(w):
+            new[:, j + 1] = np.minimum(np.minimum(row[:, j + 1], new[:, j]) + 1, row[:, j] + (a[:, i] != b[:, j]))
+        row = new
+    out[worth] = row[:, w]
+    return out
+
+
+def _binary(windows: np.ndarray) -> pa.Array:
+    """One binary value per row."""
+    flat = np.ascontiguousarray(windows)
+    offsets = np.arange(len(flat) + 1, dtype=np.int32) * (flat.shape[1] * 8)
+    return pa.Array.from_buffers(pa.binary(), len(flat), [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
+
+
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, width)
+
+
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """(ids, word hashes of all texts, index after the last word of each text) for (id, text) in parts of bounded size."""
+    hashes = _Hashes()
+    for batch in batches:
+        ids, texts = batch.column(0), batch.column(1).to_pylist()
+        a = 0
+        while a < len(texts):
+            b, size, words, ends = a, 0, [], []
+            while b < len(texts) and (b == a or size < SLICE):
+                size += len(texts[b] or "")
+                words.extend(map(hashes.__getitem__, words_of(texts[b])))
+                ends.append(len(words))
+                b += 1
+            yield ids.slice(a, b - a), np.array(words, np.uint64), np.array(ends, np.int64)
+            a = b
+
 
-    def __init__(self, items: list[tuple[int, str]], window: int = WINDOW, edits: int = EDITS, seed: int = 11):
-        rng = np.random.default_rng(seed)
-        self.window, self.edits = window, edits
-        self.vocabulary: dict[str, int] = {}
-        self.items: list[int] = []
-        words, owner, place = [], [], []
-        for item, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)]
-            words.extend(ids)
-            words.append(-1)
-            owner.extend([len(self.items)] * (len(ids) + 1))
-            place.extend(range(len(ids) + 1))
-            self.items.append(item)
-        self.words = np.array([*words, *[-1] * window], np.int64)
-        self.owner, self.place = np.array(owner, np.int64), np.array(place, np.int64)
-        known = np.concatenate([[0], np.cumsum(self.words >= 0)])
-        starts = np.arange(max(0, len(words)))
-        self.starts = starts[known[starts + window] - known[starts] == window]
-        self.steps = 3 * window
-        self.moves = rng.integers(0, 2, (WALKS, self.steps, len(self.vocabulary) + 2), dtype=np.int8)
-        self.symbols = rng.integers(1, 2**63 - 1, len(self.vocabulary) + 2, dtype=np.int64)
-        self.sampled = [[set(rng.choice(self.steps, SAMPLED, replace=False).tolist()) for _ in range(TABLES)] for _ in range(WALKS)]
-        self.keys = []
-        for walk in range(WALKS):
-            for keys in self.hashes(self.words, self.starts, walk):
-                order = np.argsort(keys, kind="stable")
-                self.keys.append((keys[order], self.starts[order]))
-        self.bits = min(24, int(np.log2(16 * len(self.starts) + 1)) + 1)
-        self.filters = []
-        for keys, _ in self.keys:
-            seen = np.zeros(1 << self.bits, bool)
-            seen[keys & ((1 << self.bits) - 1)] = True
-            self.filters.append(seen)
-
-    def hashes(self, words: np.ndarray, starts: np.ndarray, walk: int) -> list[np.ndarray]:
-        """Per table of a walk, one key for each window. Unknown words are symbol 0, beyond the window is -1."""
-        out = [np.full(len(starts), 977 * (walk + 1) + t, np.int64) for t in range(TABLES)]
-        at = np.zeros(len(starts), np.int64)
-        moves, last = self.moves[walk], len(self.vocabulary) + 1
-        with np.errstate(over="ignore"):
-            for step in range(self.steps):
-                word = np.where(at < self.window, words[np.minimum(starts + at, len(words) - 1)], last)
-                word[word < 0] = last
-                for t, sampled in enumerate(self.sampled[walk]):
-                    if step in sampled:
-                        mixed = (out[t] ^ self.symbols[word]) * np.int64(-7046029254386353131)
-                        out[t] = mixed ^ (mixed >> np.int64(29))
-                at += moves[step][word]
-        return out
-
-    def candidates(self, words: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Distinct (window start, item window start) pairs that share a table's key."""
-        found = []
-        for walk in range(WALKS):
-            for t, keys in enumerate(self.hashes(words, starts, walk)):
-                own, at = self.keys[walk * TABLES + t]
-                hit = self.filters[walk * TABLES + t][keys & ((1 << self.bits) - 1)]
-                keys, from_ = keys[hit], starts[hit]
-                a, b = np.searchsorted(own, keys, "left"), np.searchsorted(own, keys, "right")
-                n = b - a
-                if n.sum():
-                    rep = np.repeat(np.arange(len(keys)), n)
-                    inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    found.append((from_[rep] << 32) | at[a[rep] + inner])
-        if not found:
-            return np.empty((0, 2), np.int64)
-        both = np.unique(np.concatenate(found))
-        return np.stack([both >> 32, both & 0xFFFFFFFF], 1)
-
-    def distances(self, words: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-        """The exact edit distance of the two windows of each pair, in words."""
-        w = self.window
-        a = words[np.minimum(pairs[:, :1] + np.arange(w), len(words) - 1)]
-        b = self.words[pairs[:, 1:] + np.arange(w)]
-        # Fewer than w - edits words that have an equal one at most `edits` places away: too far apart.
-        k = self.edits
-        close = np.zeros(a.shape, bool)
-        for shift in range(-k, k + 1):
-            x, y = slice(max(0, shift), w + min(0, shift)), slice(max(0, -shift), w - max(0, shift))
-            close[:, x] |= a[:, x] == b[:, y]
-        out = np.full(len(pairs), w)
-        worth = np.flatnonzero(close.sum(1) >= w - k)
-        a, b = a[worth], b[worth]
-        row = np.repeat(np.arange(w + 1)[None], len(worth), 0)
-        for i in range(w):
-            new = np.empty_like(row)
-            new[:, 0] = i + 1
-            for j in range(w):
-                new[:, j + 1] = np.minimum(np.minimum(row[:, j + 1], new[:, j]) + 1, row[:, j] + (a[:, i] != b[:, j]))
-            row = new
-        out[worth] = row[:, w]
-        return out
-
-    def search(self, texts: list[str | None]) -> list[tuple[int, int, int, int, int]]:
-        """(text number, item, least edits, windows of that many edits, first word of the first one)."""
-        get = self.vocabulary.get
-        ids: list[int] = []
-        ends = []
-        for text in texts:
-            if text:
-                ids.extend([get(w, 0) for w in _WORD.findall(text.lower())])
-            ids.append(-1)
-            ends.append(len(ids))
-        words = np.array(ids + [-1] * self.window, np.int64)
-        known = np.concatenate([[0], np.cumsum(words > 0)])
-        breaks = np.concatenate([[0], np.cumsum(words < 0)])
-        starts = np.arange(len(ids))
-        # A window within the tolerated edits shares all but that many words with an item.
-        near = (known[starts + self.window] - known[starts] >= self.window - self.edits) & (words[starts] >= 0)
-        near &= breaks[starts + self.window] - breaks[starts] == 0
-        starts = starts[near]
-        if not len(starts):
-            return []
-        pairs = self.candidates(words, starts)
-        if not len(pairs):
-            return []
-        away = np.concatenate([self.distances(words, pairs[i : i + 200_000]) for i in range(0, len(pairs), 200_000)])
-        pairs, away = pairs[away <= self.edits], away[away <= self.edits]
-        doc = np.searchsorted(ends, pairs[:, 0], side="right")
-        item = self.owner[pairs[:, 1]]
-        order = np.lexsort((pairs[:, 0], away, item, doc))
-        out: list[tuple[int, int, int, int, int]] = []
-        for k in order:
-            d, i, e = int(doc[k]), int(item[k]), int(away[k])
-            if out and out[-1][:2] == (d, self.items[i]):
-                if out[-1][2] == e:
-                    out[-1] = (*out[-1][:3], out[-1][3] + 1, out[-1][4])
+def _windows(texts: DataFrame, id_col: str, text_col: str, window: int, passing: Callable[[np.ndarray], np.ndarray] | None) -> DataFrame:
+    """(id, pos, w): every window of every text, or those of which enough runs are known: `passing` of the words."""
+    schema = pa.schema([("id", pa.int64()), ("pos", pa.int32()), ("w", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, words, ends in _hashed(batches):
+            if len(words) < window:
                 continue
-            begin = ends[d - 1] if d else 0
-            out.append((d, self.items[i], e, 1, int(pairs[k, 0]) - begin))
-        return out
+            starts = np.arange(len(words) - window + 1)
+            if passing is not None:
+                starts = starts[passing(words)]
+            text = np.searchsorted(ends, starts, side="right")
+            inside = starts + window <= ends[text]
+            starts, text = starts[inside], text[inside]
+            first = np.concatenate([[0], ends])[text]
+            views = np.lib.stride_tricks.sliding_window_view(words, window)
+            for i in range(0, len(starts), 100_000):
+                s, t = starts[i : i + 100_000], text[i : i + 100_000]
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(t)), pa.array((s - first[i : i + 100_000]).astype(np.int32)), _binary(views[s])], schema=schema)
+
+    own = texts.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter(F.length("text") >= 2 * window - 1)
+    return own.mapInArrow(run, "id long, pos int, w binary")
+
+
+def _gram_filter(items: DataFrame, text_col: str, most_bits: int) -> tuple[bytes, int]:
+    """(bits, number of them as a power of two): a bit map in which the runs of GRAM words of all items are set.
+
+    Executors set the bits, and the driver gets at most 2 ** most_bits of them, whatever the items are.
+    """
+    size = items.agg(F.coalesce(F.sum(F.length(text_col)), F.lit(0))).first()[0]
+    bits = min(most_bits, max(LEAST_BITS, int(size).bit_length() + 3))
+    schema = pa.schema([("slot", pa.int64()), ("bits", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, words, _ in _hashed(batches):
+            at = np.unique(_grams(words) & np.uint64((1 << bits) - 1))
+            slots, first = np.unique(at >> np.uint64(6), return_index=True)
+            if len(at):
+                set_ = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), first)
+                yield pa.RecordBatch.from_arrays([pa.array(slots.astype(np.int64)), pa.array(set_.view(np.int64))], schema=schema)
+
+    own = items.select(F.lit(0).cast("long"), text_col).filter(F.length(text_col) > 0)
+    table = own.mapInArrow(run, "slot long, bits long").groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[table.column("slot").to_numpy()] = table.column("bits").to_numpy()
+    return out.tobytes(), bits
 
 
-def _blocks(items: DataFrame, id_col: str, text_col: str, most: int) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of at most about `most` words."""
-    block, size = [], 0
-    for row in items.select(id_col, text_col).filter(F.col(text_col).isNotNull()).orderBy(id_col).toLocalIterator():
-        n = len(row[1])
-        if block and size + n > 8 * most:
-            yield block
-            block, size = [], 0
-        block.append((row[0], row[1]))
-        size += n
-    if block:
-        yield block
+def _keyed(windows: DataFrame, width: int, name: str) -> DataFrame:
+    """(key, name) of the distinct windows: one row per table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                keys = walks(_matrix(batch.column(0), width))
+                row = pa.array(np.repeat(np.arange(len(keys)), keys.shape[1]))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), batch.column(0).take(row)], names=["key", name])
+
+    return windows.select("w").distinct().mapInArrow(run, f"key long, {name} binary")
 
 
 def leaked_items(
-    docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", window: int = WINDOW, edits: int = EDITS, most: int = ITEM_WINDOWS
+    docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", window: int = WINDOW, edits: int = EDITS, most_bits: int = MOST_BITS, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """(doc_id, item_id, edits, windows, first_word): items of which a passage of `window` words is in a document.
 
     edits is the least number of word edits (0: the passage is there word for word), windows how many
-    passages match that well, first_word where the first one begins. Matches without edits are always
-    found; the tables are laid out so that of those with one or two edits nine in ten or more are, too.
-    Every word of every document is searched. Items are read as words, and their index is broadcast in
-    blocks of bounded size: a larger item set means more passes over the documents, not a larger index.
-    Null, empty and too short texts match nothing; an item or document with a repeated id gives repeated
-    rows; other columns are ignored.
+    pairs of passages match that well, first_word where the first one begins in the document. Matches
+    without edits are always found; the tables are laid out so that of those with one or two edits more
+    than nine in ten are, too.
+
+    One pass over all words of all documents keeps the windows that share enough runs of three words with
+    some item: each edit destroys at most three runs, so no match is lost. The runs are known by a bit map
+    of at most 2 ** `most_bits` bits, the only thing that is broadcast; with more items than that suits,
+    more windows pass and are dismissed by the join. Windows of documents and items then meet by the keys
+    of their tables in a join, each distinct window once, and the exact edit distance decides. A bucket or
+    a passage with `hot_rows` or more windows is split over several tasks. Items never go to the driver.
+
+    Null, empty and too short texts match nothing; rows with the same id are one document or item, null
+    ids too; other columns are ignored.
     """
     spark = docs.sparkSession
-    schema = "doc_id long, item_id long, edits int, windows int, first_word int"
-    arrow = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("edits", pa.int32()), ("windows", pa.int32()), ("first_word", pa.int32())])
-
-    def searching(shared):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = shared.value
-            for batch in batches:
-                ids, texts = batch.column(0), batch.column(1).to_pylist()
-                a, b, size = 0, 0, 0
-                while a < len(texts):
-                    while b < len(texts) and (b == a or size < 4_000_000):
-                        size += len(texts[b] or "")
-                        b += 1
-                    found = index.search(texts[a:b])
-                    if found:
-                        d, i, e, n, f = zip(*found)
-                        yield pa.RecordBatch.from_arrays([ids.take(pa.array([a + x for x in d])).cast(pa.int64()), pa.array(i, pa.int64()), pa.array(e, pa.int32()), pa.array(n, pa.int32()), pa.array(f, pa.int32())], schema=arrow)
-                    a, size = b, 0
-
-        return run
-
-    own = docs.select(doc_id, text).filter(F.length(text) >= 2 * window - 1)
-    out = None
-    for block in _blocks(items, item_id, text, most):
-        shared = spark.sparkContext.broadcast(LeakIndex(block, window, edits))
-        part = own.mapInArrow(searching(shared), schema)
-        out = part if out is None else out.unionByName(part)
-    return spark.createDataFrame([], schema) if out is None else out
+    bitmap, bits = _gram_filter(items, text, most_bits)
+    shared = spark.sparkContext.broadcast(bitmap)
+    runs, least = window - GRAM + 1, window - GRAM + 1 - GRAM * edits
+
+    def passing(words: np.ndarray) -> np.ndarray:
+        known = np.frombuffer(shared.value, np.uint64)
+        at = _grams(words) & np.uint64((1 << bits) - 1)
+        set_ = (known[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)
+        total = np.concatenate([[0], np.cumsum(set_.astype(np.int64))])
+        n = len(words) - window + 1
+        return np.flatnonzero(total[runs : runs + n] - total[:n] >= least)
+
+    in_docs = cut_lineage(_windows(docs, doc_id, text, window, passing)).withColumnRenamed("w", "wd")
+    in_items = _windows(items, item_id, text, window, None).withColumnRenamed("w", "wi")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                away = edit_distances(_matrix(batch.column(0), window), _matrix(batch.column(1), window), edits)
+                good = pa.array(np.flatnonzero(away <= edits))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(good), batch.column(1).take(good), pa.array(away[away <= edits].astype(np.int32))], names=["wd", "wi", "edits"])
+
+    met = salted_join(_keyed(in_docs.withColumnRenamed("wd", "w"), window, "wd"), _keyed(in_items.withColumnRenamed("wi", "w"), window, "wi"), ["key"], ["wd"], hot_rows)
+    pairs = met.select("wd", "wi").mapInArrow(verify, "wd binary, wi binary, edits int").groupBy("wd", "wi").agg(F.min("edits").alias("edits"))
+    of_items = in_items.groupBy(F.col("id").alias("item_id"), "wi").agg(F.count(F.lit(1)).alias("times"))
+    of_windows = salted_join(of_items, pairs, ["wi"], ["item_id"], hot_rows).groupBy("wd", "item_id", "edits").agg(F.sum("times").alias("times"))
+    hits = salted_join(in_docs.withColumnRenamed("id", "doc_id"), of_windows, ["wd"], ["doc_id", "pos"], hot_rows)
+    each = hits.groupBy("doc_id", "item_id", "edits").agg(F.sum("times").cast("int").alias("windows"), F.min("pos").alias("first_word"))
+    best = each.groupBy("doc_id", "item_id").agg(F.min(F.struct("edits", "windows", "first_word")).alias("b"))
+    return best.select("doc_id", "item_id", "b.edits", "b.windows", "b.first_word")
 
 
 def leaked_word_for_word(docs: DataFrame, items: DataFrame) -> DataFrame:
