@@ -84,10 +84,24 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p8_packed(spark: SparkSession, sf: str) -> DataFrame:
-    """(doc_id, piece, start_token, tokens, tier, container, step_group, room) of every document."""
+    """(doc_id, piece, start_token, tokens, tier, container, window, step_group, room) of every document."""
     return packing.pack_documents(tokens.token_counts(_documents(spark, sf), "doc_id", "text")).withColumnRenamed("id", "doc_id")
 
 
+def p8_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """One row about p8_packed: documents, those split without need or with a gap, windows and containers too full, whether the fill is above 98 %."""
+    rows = p8_packed(spark, sf)
+    own = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pieces"), F.max(F.col("start_token") + F.col("tokens")).alias("end"), F.sum("tokens").alias("tokens"))
+    wrong = (F.col("end") != F.col("tokens")) | (F.col("pieces") != F.greatest(F.lit(1), F.ceil(F.col("tokens") / packing.CAPACITY)))
+    documents = own.agg(F.count(F.lit(1)).alias("documents"), F.count_if(wrong).alias("badly_split"), F.sum("tokens").alias("__tokens"))
+    windows = rows.groupBy("container", "window", "tier").agg(F.sum("tokens").alias("tokens")).groupBy("container").agg(F.sum("tokens").alias("tokens"), F.count_if(F.col("tokens") > F.col("tier")).alias("full"))
+    containers = windows.agg(F.sum("full").alias("overfull_windows"), F.count_if(F.col("tokens") > packing.CAPACITY).alias("overfull_containers"), F.count(F.lit(1)).alias("__containers"))
+    fill = F.col("__tokens") / (F.col("__containers") * packing.CAPACITY) > 0.98
+    both = documents.unionByName(containers, allowMissingColumns=True)
+    both = both.agg(*[F.max(c).alias(c) for c in both.columns])
+    return both.select("documents", "badly_split", "overfull_windows", "overfull_containers", fill.alias("well_filled"))
+
+
 def p9_leaks(spark: SparkSession, sf: str) -> DataFrame:
     return leakage.leaked_items(_documents(spark, sf), _read(spark, sf, "heldout_items"))
 
@@ -106,7 +120,7 @@ def p10_redacted(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_pieces, p2_found, p2_scores, p3_found, p3_facts, p4_found, p4_terms, p4_grams, p6_found, p6_ranking, p8_packed, p9_found, p9_leaks, p10_found, p10_redacted)
+    for f in (p1_found, p1_pieces, p2_found, p2_scores, p3_found, p3_facts, p4_found, p4_terms, p4_grams, p6_found, p6_ranking, p8_packed, p8_checks, p9_found, p9_leaks, p10_found, p10_redacted)
 }
 
 _USABLE = """
@@ -177,5 +191,6 @@ WHERE n >= 3 AND NOT EXISTS (
   SELECT 1 FROM p q WHERE q.query_id = p.query_id AND q.point_id <> p.point_id
     AND (q.d > p.d)::INT + (q.s > p.s)::INT + (q.l > p.l)::INT + (q.r > p.r)::INT >= 2)
 """,
+    "p8_checks": "SELECT count(*) AS documents, 0 AS badly_split, 0 AS overfull_windows, 0 AS overfull_containers, true AS well_filled FROM documents",
     "p9_found": _WORDS + "SELECT DISTINCT doc_id, item_id FROM dw JOIN iw ON dw.g = iw.g",
 }
