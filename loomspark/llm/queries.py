@@ -32,6 +32,13 @@ def p1_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return splitting.all_pieces(_texts(spark, sf))
 
 
+def p1_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """(origin, item_id, bytes, small, tied) of every text in pieces: bytes without shared ones, whether no piece is too large or shares too much."""
+    p = p1_pieces(spark, sf).withColumn("size", F.octet_length("text"))
+    small = F.bool_and((F.col("size") <= splitting.LIMIT) & (F.col("piece") < F.col("pieces")))
+    return p.groupBy("origin", "item_id").agg(F.sum(F.col("size") - F.col("shared_bytes")).alias("bytes"), small.alias("small"), F.bool_and(F.col("shared_bytes") <= splitting.OVERLAP).alias("tied"))
+
+
 def p2_scores(spark: SparkSession, sf: str) -> DataFrame:
     scored = distinctive.distinctive_of(_read(spark, sf, "codebase_contributions"), _read(spark, sf, "codebase_doc_counts"))
     return scored.select(F.col("record").alias("codebase_id"), F.col("term").alias("token"), F.col("n").alias("doc_freq"), F.round("pmi", 6).alias("pmi"), F.round("ppmi", 6).alias("ppmi"))
@@ -120,7 +127,7 @@ def p10_redacted(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_pieces, p2_found, p2_scores, p3_found, p3_facts, p4_found, p4_terms, p4_grams, p6_found, p6_ranking, p8_packed, p8_checks, p9_found, p9_leaks, p10_found, p10_redacted)
+    for f in (p1_found, p1_pieces, p1_checks, p2_found, p2_scores, p3_found, p3_facts, p4_found, p4_terms, p4_grams, p6_found, p6_ranking, p8_packed, p8_checks, p9_found, p9_leaks, p10_found, p10_redacted)
 }
 
 _USABLE = """
@@ -162,6 +169,7 @@ iw AS (SELECT item_id, array_to_string(w[s : s + 11], ' ') AS g FROM (SELECT ite
 
 SQL: dict[str, str] = {
     "p1_found": "SELECT 'chunk' AS origin, chunk_id AS item_id FROM code_chunks WHERE strlen(content) > 1200 UNION ALL SELECT 'span', span_id FROM embedding_spans WHERE strlen(text) > 1200",
+    "p1_checks": "SELECT *, true AS small, true AS tied FROM (SELECT 'chunk' AS origin, chunk_id AS item_id, strlen(content) AS bytes FROM code_chunks UNION ALL SELECT 'span', span_id, strlen(text) FROM embedding_spans) WHERE bytes > 0",
     "p2_found": _SCORED + "SELECT codebase_id, token FROM scored WHERE doc_freq >= 10 AND CAST(doc_freq AS HUGEINT) * total >= 8 * CAST(term_n AS HUGEINT) * doc_count",
     "p2_scores": _SCORED + "SELECT codebase_id, token, doc_freq, round(pmi, 6) AS pmi, round(ppmi, 6) AS ppmi FROM scored",
     "p3_found": _CANONICAL + "SELECT first_id, id AS fact_id FROM (SELECT id, min(id) OVER (PARTITION BY k) AS first_id FROM keyed) WHERE id <> first_id",

@@ -19,21 +19,31 @@ _ITEM = re.compile(r"(\s*)(?:[-*+]|\d+[.)])\s")
 _FENCE = re.compile(r"\s*(?:```|~~~)")
 _SENTENCE = re.compile(r"(?<=[.!?;:])[\"')\]]*\s+|(?<=[。！？؟])")
 _WORD = re.compile(r"\s+")
-#: Nesting beyond this depth is read as one level.
-_DEEPEST = 40
+# Elements that run inside a line of text, so that their ends are no boundaries of blocks.
+_INLINE = frozenset(
+    """
+    a abbr b bdi bdo big br button cite code data del dfn em font i img input ins kbd label mark meter output progress q
+    s samp select slot small span strike strong sub sup svg time tt u var wbr
+    """.split()
+)
+_TAG = re.compile(r"<(/?)([A-Za-z][\w:.-]*)(?:\s[^<>]*?)?(/?)>")
+#: Levels of lines that go with what is before them, and of a line before its own subtree.
+_WITHIN, _OWN = 1 << 40, 1 << 41
+#: What a node may still hold: markup and lines, lines only, neither.
+_RAW, _TEXT, _LINE_ONLY = range(3)
 
 
 class _Node:
     """A span of the text; children, where there are any, cover it without a gap."""
 
-    __slots__ = ("start", "end", "children", "level")
+    __slots__ = ("start", "end", "children", "level", "holds")
 
-    def __init__(self, start: int, end: int, level: int):
-        self.start, self.end, self.level, self.children = start, end, level, []
+    def __init__(self, start: int, end: int, level: int = 0, holds: int = _LINE_ONLY):
+        self.start, self.end, self.level, self.holds, self.children = start, end, level, holds, []
 
 
-def _lines(text: str) -> list[tuple[int, int]]:
-    return [m.span() for m in _LINE.finditer(text) if m.end() > m.start()]
+def _lines(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    return [m.span() for m in _LINE.finditer(text, start, end) if m.end() > m.start()]
 
 
 def _levels(text: str, lines: list[tuple[int, int]]) -> list[int]:
@@ -48,14 +58,14 @@ def _levels(text: str, lines: list[tuple[int, int]]) -> list[int]:
         bare = line.strip()
         if _FENCE.match(line):
             fenced = not fenced
-            out.append(8 if fenced else 60)
+            out.append(8 if fenced else _WITHIN)
             fresh = True
             continue
         if not bare:
-            out.append(60)
+            out.append(_WITHIN)
             fresh = not fenced
             continue
-        indent = min(_DEEPEST, len(line) - len(line.lstrip(" \t")) + 3 * (line.count("\t", 0, len(line) - len(line.lstrip()))))
+        indent = len(line) - len(line.lstrip(" \t")) + 3 * line.count("\t", 0, len(line) - len(line.lstrip()))
         if fenced:
             out.append(14 + indent)
         elif h := _HEADING.match(line):
@@ -70,10 +80,10 @@ def _levels(text: str, lines: list[tuple[int, int]]) -> list[int]:
     return out
 
 
-def _tree(text: str) -> _Node:
+def _lines_tree(text: str, start: int, end: int) -> list[_Node]:
     """Lines as leaves; each line's subtree runs to the next line of its level or an outer one."""
-    lines = _lines(text)
-    root = _Node(0, len(text), -1)
+    lines = _lines(text, start, end)
+    root = _Node(start, end, -1)
     stack = [root]
     for (a, b), level in zip(lines, _levels(text, lines)):
         while stack[-1].level >= level:
@@ -81,12 +91,60 @@ def _tree(text: str) -> _Node:
         parent = stack[-1]
         own = _Node(a, b, level)
         if parent is not root and not parent.children and parent.start < a:
-            parent.children.append(_Node(parent.start, a, 99))
+            parent.children.append(_Node(parent.start, a, _OWN))
         parent.children.append(own)
         stack.append(own)
     for node in stack:
-        node.end = len(text)
-    return root
+        node.end = end
+    return root.children
+
+
+def _covering(node: _Node, elements: list[_Node], holds: int) -> None:
+    """Makes the elements the children of a node, with nodes of text between them."""
+    at = node.start
+    for e in elements:
+        if at < e.start:
+            node.children.append(_Node(at, e.start, holds=holds))
+        node.children.append(e)
+        at = e.end
+    if elements and at < node.end:
+        node.children.append(_Node(at, node.end, holds=holds))
+
+
+def _markup_tree(text: str, start: int, end: int) -> list[_Node]:
+    """The elements of a text as a tree, and the text between them; nothing where no block element is closed.
+
+    A start tag without an end and an end tag without a start are text.
+    """
+    stack: list[tuple[str, int, list[_Node]]] = [("", start, [])]
+    for m in _TAG.finditer(text, start, end):
+        closing, name, empty = m.group(1), m.group(2).lower(), m.group(3)
+        if name in _INLINE or empty:
+            continue
+        if not closing:
+            stack.append((name, m.start(), []))
+            continue
+        at = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == name), 0)
+        if at:
+            inner = [e for _, _, found in stack[at:] for e in found]
+            own = _Node(stack[at][1], m.end(), holds=_TEXT)
+            _covering(own, inner, _TEXT)
+            del stack[at:]
+            stack[-1][2].append(own)
+    root = _Node(start, end)
+    _covering(root, [e for _, _, found in stack for e in found], _TEXT)
+    return root.children
+
+
+def _grown(text: str, node: _Node) -> list[_Node]:
+    """The children of a node, made when they are first asked for."""
+    if not node.children and node.holds == _RAW:
+        node.children = _markup_tree(text, node.start, node.end)
+    if not node.children and node.holds != _LINE_ONLY:
+        lines = _lines_tree(text, node.start, node.end)
+        # A single line is what it is in.
+        node.children = lines if len(lines) > 1 or lines and lines[0].children else []
+    return node.children
 
 
 class _Sizes:
@@ -119,28 +177,29 @@ class _Sizes:
         return i if i < len(self.at) and self.at[i] == self.at[a] + most else i - 1
 
 
-def _parts(text: str, a: int, b: int, size: _Sizes, most: int) -> list[tuple[int, int]]:
-    """A line without structure in parts of at most `most` bytes: sentences, then words, then characters."""
-    for cut in (_SENTENCE, _WORD):
-        ends = [m.end() for m in cut.finditer(text, a, b) if a < m.end() < b]
-        if ends:
-            spans = list(zip([a, *ends], [*ends, b]))
-            if cut is _SENTENCE:
-                return [p for x, y in spans for p in ([(x, y)] if size(x, y) <= most else _parts_below(text, x, y, size, most))]
-            return [p for x, y in spans for p in ([(x, y)] if size(x, y) <= most else _characters(x, y, size, most, text))]
-    return _characters(a, b, size, most, text)
+class _Room:
+    """The bytes that a piece beginning at a place may have of its own; only the first one shares none."""
+
+    def __init__(self, limit: int, overlap: int):
+        self.first, self.other = limit, limit - overlap
+
+    def __call__(self, start: int) -> int:
+        return self.first if start == 0 else self.other
 
 
-def _parts_below(text: str, a: int, b: int, size: _Sizes, most: int) -> list[tuple[int, int]]:
-    ends = [m.end() for m in _WORD.finditer(text, a, b) if a < m.end() < b]
+def _parts(text: str, a: int, b: int, size: _Sizes, room: _Room, cuts: tuple = (_SENTENCE, _WORD)) -> list[tuple[int, int]]:
+    """A line without structure in parts that fit: sentences, then words, then characters."""
+    if not cuts:
+        return _characters(a, b, size, room, text)
+    ends = [m.end() for m in cuts[0].finditer(text, a, b) if a < m.end() < b]
     spans = list(zip([a, *ends], [*ends, b]))
-    return [p for x, y in spans for p in ([(x, y)] if size(x, y) <= most else _characters(x, y, size, most, text))]
+    return [p for x, y in spans for p in ([(x, y)] if size(x, y) <= room(x) else _parts(text, x, y, size, room, cuts[1:]))]
 
 
-def _characters(a: int, b: int, size: _Sizes, most: int, text: str) -> list[tuple[int, int]]:
+def _characters(a: int, b: int, size: _Sizes, room: _Room, text: str) -> list[tuple[int, int]]:
     out = []
     while a < b:
-        end = min(b, size.ahead(a, most))
+        end = min(b, size.ahead(a, room(a)))
         if end < b and text[end - 1] == "\r" and text[end] == "\n" and end - 1 > a:
             end -= 1
         out.append((a, end))
@@ -148,23 +207,23 @@ def _characters(a: int, b: int, size: _Sizes, most: int, text: str) -> list[tupl
     return out
 
 
-def _pack(node: _Node, text: str, size: _Sizes, most: int) -> list[tuple[int, int]]:
+def _pack(node: _Node, text: str, size: _Sizes, room: _Room) -> list[tuple[int, int]]:
     """Pieces of a subtree: whole if it fits; else its children's pieces, with neighbours merged to the limit."""
     done: dict[int, list[tuple[int, int]]] = {}
     order, todo = [], [node]
     while todo:
         n = todo.pop()
         order.append(n)
-        if size(n.start, n.end) > most:
-            todo.extend(n.children)
+        if size(n.start, n.end) > room(n.start):
+            todo.extend(_grown(text, n))
     for n in reversed(order):
-        if size(n.start, n.end) <= most:
+        if size(n.start, n.end) <= room(n.start):
             done[id(n)] = [(n.start, n.end)]
             continue
-        parts = [p for c in n.children for p in done[id(c)]] if n.children else _parts(text, n.start, n.end, size, most)
+        parts = [p for c in n.children for p in done.pop(id(c))] if n.children else _parts(text, n.start, n.end, size, room)
         merged: list[tuple[int, int]] = []
         for a, b in parts:
-            if merged and size(merged[-1][0], b) <= most:
+            if merged and size(merged[-1][0], b) <= room(merged[-1][0]):
                 merged[-1] = (merged[-1][0], b)
             else:
                 merged.append((a, b))
@@ -184,7 +243,7 @@ def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tu
         return []
     if size(0, len(text)) <= limit:
         return [(0, 0, len(text))]
-    pieces = _pack(_tree(text), text, size, limit - overlap)
+    pieces = _pack(_Node(0, len(text), holds=_RAW), text, size, _Room(limit, overlap))
     out = []
     for a, b in pieces:
         start = a
@@ -234,8 +293,8 @@ def texts_with_origin(chunks: DataFrame, spans: DataFrame) -> DataFrame:
 def split_oversized(texts: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
     """(origin, item_id, piece, pieces, first, shared_bytes, text): the pieces of every text above `limit` bytes.
 
-    `texts` is (origin, item_id, first, text). Headings, lists, code blocks, paragraphs and indentation
-    make a tree; neighbouring subtrees are merged to the limit and only oversized nodes are entered, down
+    `texts` is (origin, item_id, first, text). Elements of markup, headings, lists, code blocks, paragraphs
+    and indentation make a tree of any depth; neighbouring subtrees are merged to the limit and only oversized nodes are entered, down
     to sentences, words and at last characters. `first` is the piece's first line, or for origin `span`
     its first code point; null stays null. Pieces share at most `overlap` bytes with the piece before.
     Null, empty and small texts need no cut and give no row; repeated rows give repeated pieces. Sizes

@@ -25,7 +25,7 @@ def test_fixed(text):
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.sampled_from(["# head\n", "text here. ", "\n\n", "- li\n", "    in\n", "é🦊中", "```\n", "longword" * 9, "\r\n", "\t"]), max_size=60), st.integers(20, 90), st.integers(0, 12))
+@given(st.lists(st.sampled_from(["# head\n", "text here. ", "\n\n", "- li\n", "    in\n", "é🦊中", "```\n", "longword" * 9, "\r\n", "\t", "<ul>", "<li>", "</li>", "</ul>", "<b>x</b>"]), max_size=60), st.integers(20, 90), st.integers(0, 12))
 def test_property(parts, limit, overlap):
     check("".join(parts), limit, overlap)
 
@@ -60,3 +60,32 @@ def test_operator(spark):
     assert sorted((r["origin"], r["item_id"]) for r in oversized_items(df).collect()) == [("chunk", 1), ("chunk", 1), ("chunk", 3), ("span", 2)]
     assert all_pieces(df).filter("item_id = 6").count() == 1 and all_pieces(df).filter("item_id IN (4, 5)").count() == 0
     assert split_oversized(df.limit(0)).count() == 0
+
+
+def own_parts(text, **options):
+    return [text[own:b] for _, own, b in split_text(text, **options)]
+
+
+def test_markup_is_cut_between_elements():
+    items = "".join(f"<li>item number {i} and some <b>words</b> in it. Twice so.</li>" for i in range(60))
+    for text in (f"<html><body><ul>{items}</ul></body></html>", f"<p>Before it.</p>\n<ol>{items}</ol>", f"a < b <ul>{items}</ul> <unclosed> </other>"):
+        parts = own_parts(text)
+        assert "".join(parts) == text and len(parts) > 2
+        for p in parts[1:-1]:
+            assert p.startswith("<li>") and p.endswith("</li>")
+    rows = "".join(f"<tr><td>{i}</td><td>{'cell ' * 30}</td></tr>" for i in range(40))
+    assert all(p.endswith(("</tr>", "</table>")) for p in own_parts(f"<table>{rows}</table>"))
+    nested = "<div>" * 300 + "word. " * 400 + "</div>" * 300
+    assert "".join(own_parts(nested)) == nested
+
+
+def test_deep_nesting_is_kept():
+    """Outer blocks are boundaries before inner ones at any depth."""
+    text = "".join(" " * (60 + 10 * (i % 5 > 0)) + f"line {i} of a deep block\n" for i in range(100))
+    assert all(int(p.split()[1]) % 5 == 0 for p in own_parts(text))
+
+
+def test_the_first_piece_has_all_the_room():
+    text = "x" * 5000
+    assert [len(p) for p in own_parts(text, limit=1200, overlap=100)] == [1200, 1100, 1100, 1100, 500]
+    assert [b - a for a, _, b in split_text(text, limit=1200, overlap=100)][:4] == [1200] * 4
