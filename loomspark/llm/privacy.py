@@ -137,7 +137,7 @@ _BETWEEN = frozenset(("", ";", "|", ",", "or", ", or", "and", "oder", "und", "ou
 #: Words of two letters that aren't family names.
 _SHORT_WORDS = frozenset("ai al am an as at au by ci da db de do du ed el em en er es et ex go he id if im in io ip is it la le lo me my na no ob of ok on or os ou qa se si so su tu ui um un up us va vm vs we zu".split())
 #: Common words that are no part of a name, also where they are capitalised.
-_WORDS_NOT_NAMES = frozenset("and the for from with this that before after when while who has have had was were will can must should avant pour dans avec sur une les des und der die das den mit von bei hat wird para por con que los las una del".split()) | NOT_PERSONS | {w for cue in (*PHONE_CUES, *ID_CUES, *FIELDS, *STREETS) for w in cue.split()}
+_WORDS_NOT_NAMES = frozenset("is ist est and the for from with this that before after when while who has have had was were will can must should avant pour dans avec sur une les des und der die das den mit von bei hat wird para por con que los las una del".split()) | NOT_PERSONS | {w for cue in (*PHONE_CUES, *ID_CUES, *FIELDS, *STREETS) for w in cue.split()}
 
 
 @lru_cache(maxsize=1)
@@ -418,7 +418,7 @@ def _persons(text: str, low: str, hits: list, found: _Found) -> None:
         if not kinds & _OF_PERSONS or not _whole(low, a, b):
             continue
         cue = low[a:b]
-        if "title" in kinds and (text[a].isupper() or cue in _SMALL_TITLES) and (at := skip(b, " ")) > b:
+        if "title" in kinds and (text[a].isupper() or cue in _SMALL_TITLES) and not (cue == "m." and _initial(text, a)) and (at := skip(b, " ")) > b:
             own = _name(text, at)
             if own and (own[1] > 1 or cue[-1] == "." or acts(own[0]) or linked(own[0])):
                 found.add(at, own[0], "person")
@@ -426,6 +426,8 @@ def _persons(text: str, low: str, hits: list, found: _Found) -> None:
                 found.add(at, m.end(), "person")
         if "addressed" in kinds:
             at = skip(b, " :\r\n" if cue[-1] == "," else " :")
+            if m := _IS.match(low, at):
+                at = m.end()
             own = _name(text, at) if at > b else None
             if own and (own[1] > 1 or linked(own[0]) or (" " in cue or cue.startswith("att")) and closed(own[0])):
                 found.add(at, own[0], "person")
@@ -462,8 +464,13 @@ def _persons(text: str, low: str, hits: list, found: _Found) -> None:
     _listed(text, found)
 
 
+def _initial(text: str, a: int) -> bool:
+    """Whether what begins at `a` follows a capitalised word, such as the initial between two names."""
+    return a > 1 and text[a - 1] == " " and text[a - 2].isalnum() and text[_word_starts(text, a - 2, 0)[0]].isupper()
+
+
 def _beside(text: str, at: int, found: _Found) -> None:
-    """A name that ends right before a contact detail at `at`; in small letters only if it is a field or a line of its own."""
+    """A name that ends right before a contact detail at `at`; in small letters if it is a field or a line of its own, or in the address."""
     for start in _word_starts(text, at - 1, 7) if at else ():
         if start == at or start and text[start - 1] in "-'’_@.+/\\":
             continue
@@ -471,11 +478,17 @@ def _beside(text: str, at: int, found: _Found) -> None:
         if not own or own[0] > at or not _BRIDGE.fullmatch(text, own[0], at):
             continue
         alone = (start == 0 or text[start - 1] in "\r\n;|\t" or text[start - 2 : start] == ": ") and all(c in " ;|,<([" for c in text[own[0] : at])
-        if own[1] > 1 or alone:
+        if own[1] > 1 or alone or _corroborated(text, start, own[0], found.after(at)):
             found.add(start, own[0], "person")
             return
 
 
+def _corroborated(text: str, a: int, b: int, item: tuple[int, int, str]) -> bool:
+    """Whether an e-mail address has the parts of the name text[a:b]."""
+    address = _folded(text[item[0] : item[1]].lower())
+    return item[2] == "email" and all(p in address for p in _WORD.findall(_folded(text[a:b].lower())) if len(p) > 1)
+
+
 def _listed(text: str, found: _Found) -> None:
     """The names that follow a name in a list."""
     todo = [end for _, end, kind in found.spans if kind == "person"]
@@ -486,6 +499,7 @@ def _listed(text: str, found: _Found) -> None:
             todo.append(own[0])
 
 
+_IS = re.compile(r"(?:is|ist|est|es) ")
 _OF_PERSONS = frozenset(("title", "addressed", "field", "agent", "act", "given"))
 _DEEDS = {language: frozenset(map(_folded, words)) for language, words in DEEDS.items()}
 _ACTS = frozenset(map(_folded, ACTS))
