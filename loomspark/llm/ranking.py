@@ -120,12 +120,14 @@ def clear_leaders(ranking: DataFrame, scorers: tuple[str, ...] = SCORERS, least:
     scorers. Only points near enough to the ideal can lead: whatever point q is taken, a leader is at least
     as good as q in all scorers but one, so its closeness is no less than the floor of q, and the points
     below the highest floor of their query are out. Those left are checked exactly by sweeps over the
-    values of each scorer (see _ahead). No pairs of points are formed. Rows without a query or point are
+    values of each scorer (see _ahead). No pairs of points are formed. The ranking is written to the shared
+    folder once, since floors, candidates and sweeps all read it. Rows without a query or point are
     left out, repeated points are judged each but don't beat themselves.
     """
     k = len(scorers)
     score = [F.coalesce(F.col(s).cast("double"), F.lit(float("-inf"))).alias(f"s{i}") for i, s in enumerate(scorers)]
     own = ranking.filter("query_id IS NOT NULL AND point_id IS NOT NULL").select("query_id", "point_id", "closeness", "floor", *score)
+    own = cut_lineage(own)
     floors = own.groupBy("query_id").agg(F.count(F.lit(1)).alias("__n"), F.max("floor").alias("__floor"))
     given = sum([(F.col(f"s{i}") > float("-inf")).cast("int") for i in range(1, k)], (F.col("s0") > float("-inf")).cast("int"))
     near = attach_by_key(own.filter(given >= least), floors, ["query_id"], "__n", ["point_id"], hot_rows=hot_rows)
