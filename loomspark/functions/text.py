@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 WORD_PART = r"[A-Z]?[a-z]+"
 CAPITALS_PART = r"[A-Z]+(?=[A-Z]|[^a-zA-Z0-9_]|\z)"
 LITERAL_WORD = r"[A-Za-z0-9_]+"
-#: A whole identifier without such parts: each of its capitals stands before a digit or an underscore.
-PARTLESS = r"(?=[A-Z_])(?<![a-zA-Z_])(?<![a-zA-Z_][0-9]{1,200})(?:[A-Z](?=[0-9_])|[0-9_])+(?![a-zA-Z0-9_])"
+#: A whole identifier without such parts: each of its capitals stands before a digit or an underscore. Digits before it
+#: come along, since only there can be told that they don't belong to an earlier part of a longer identifier.
+PARTLESS = r"(?<![a-zA-Z0-9_])[0-9]*+(?=[A-Z_])(?:[A-Z](?=[0-9_])|[0-9_])+(?![a-zA-Z0-9_])"
 
 # English words with little meaning for search.
 STOP_TOKENS = frozenset(
@@ -41,15 +42,16 @@ def tokens(text: Column | str, min_length: int = 2, stop: Iterable[str] | None =
     Null gives an empty array.
     """
     found = F.regexp_extract_all(F.coalesce(_col(text), F.lit("")), F.lit(f"{WORD_PART}|{CAPITALS_PART}|{PARTLESS}"), F.lit(0))
-    # Only identifiers without parts hold underscores or numbers; joining and splitting once cuts all of them.
-    joined = F.regexp_replace(F.lower(F.array_join(found, "_")), "(?<=^|_)[0-9]+(?=_|$)", "")
+    # Only identifiers without parts hold underscores or numbers; joining and splitting once cuts all of them. Digits at
+    # the beginning of a find are those before the identifier.
+    joined = F.regexp_replace(F.lower(F.array_join(found, " ")), "(?<=^| )[0-9]+|(?<=_)[0-9]+(?=_| |$)", "")
     banned = sorted(stop) if stop else []
 
     def kept(t: Column) -> Column:
         cond = F.length(t) >= max(1, min_length)
         return cond & ~t.isin(banned) if banned else cond
 
-    return F.filter(F.split(joined, "_"), kept)
+    return F.filter(F.split(joined, "[ _]"), kept)
 
 
 def literal_tokens(text: Column | str) -> Column:

@@ -2,18 +2,68 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from loomspark.config import DEFAULTS
+from loomspark.functions.text import tokens
+from loomspark.operators import vocabulary as voc
 from loomspark.operators.fusion import reciprocal_rank_fusion
 from loomspark.operators.scoring import dense_scores, dense_top_k_many, sparse_scores, sparse_top_k, top_k
+from loomspark.session import cut_lineage, shared_dir
+from loomspark.sources.tables import Store
 
 #: Weights closer than this count as equal (fixed value).
 EQUAL = 0.001
 
 
+@dataclass
+class SearchIndex:
+    """A vocabulary and the postings of a table of documents, written once and read by every search.
+
+    Postings lie in order of their index, so a scan for the indexes of a query passes over the other row groups.
+    """
+
+    state: voc.State
+    postings: DataFrame
+
+    @property
+    def vocabulary(self) -> DataFrame:
+        return self.state.vocabulary
+
+    @classmethod
+    def build(cls, store: Store, name: str, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", codebase: str = "source") -> SearchIndex:
+        """Writes the index of `docs` as a version of a collection. Each text is tokenized once."""
+        each = docs.select(F.col(codebase).alias("codebase_id"), F.col(doc_id).alias("doc_id"), F.explode(tokens(text)).alias("token"))
+        counts = cut_lineage(each.groupBy("codebase_id", "doc_id", "token").agg(F.count(F.lit(1)).alias("count")))
+        frequencies = counts.groupBy("codebase_id", "token").agg(F.count(F.lit(1)).alias("doc_freq"))
+        state = voc.register(voc.empty(docs.sparkSession), frequencies, voc.corpus_sizes(docs, codebase), check=False)
+        vocabulary = cut_lineage(state.vocabulary)
+        postings = counts.join(vocabulary.select("token", "idx"), "token").select("doc_id", "idx", (1 + F.log("count")).alias("tf"))
+        parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        ordered = postings.repartitionByRange(parts, "idx", "doc_id").sortWithinPartitions("idx")
+        store.publish_parts(name, {"vocabulary": vocabulary, "contributions": state.contributions, "doc_counts": state.doc_counts, "postings": ordered})
+        return cls.open(store, name)
+
+    @classmethod
+    def open(cls, store: Store, name: str) -> SearchIndex:
+        return cls(voc.State(*[store.read(name, part) for part in ("vocabulary", "contributions", "doc_counts")]), store.read(name, "postings"))
+
+    @classmethod
+    def of(cls, spark: SparkSession, source: str, docs: Callable[[], DataFrame]) -> SearchIndex:
+        """The index of `source`, in the shared folder; made on the first call of an application."""
+        store = Store(spark, f"{shared_dir(spark)}/indexes-{spark.sparkContext.applicationId}")
+        name = hashlib.sha256(source.encode()).hexdigest()[:16]
+        return cls.open(store, name) if store.exists(name) else cls.build(store, name, docs())
+
+    def query_vectors(self, queries: DataFrame, **options) -> DataFrame:
+        return voc.query_vectors(self.state, queries, **options)
+
+
 def _dense_scores(points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return dense_top_k_many(points, queries, k).select("query_id", "id", "score", "rank")
 
@@ -87,8 +137,8 @@ def grouped_search(
     groups = own.select("id", F.col(group).cast("string").alias("group"))
     parts = []
     if dense_weight > 0:
-        # All scores are needed: the best hits alone may all be of one group.
-        scored = dense_scores(own, dense_queries, carry=group).withColumnRenamed("carry", "group")
+        # The best hits alone may all be of one group, so the best groups are looked for.
+        scored = dense_scores(own, dense_queries, n, carry=group).withColumnRenamed("carry", "group")
         parts.append((0, dense_weight, best_per_group(scored, n)))
     if sparse_weight > 0:
         parts.append((1, sparse_weight, best_per_group(sparse_scores(postings, sparse_queries).join(groups, "id"), n)))

@@ -64,18 +64,14 @@ def entity_facts(spark, sf):
     return fa.entity_facts(f, fa.adjacency(f), "GRANARY index service").select("id")
 
 
-def neighbors(spark, sf, which="subject LIKE 'Ma%' OR subject LIKE 'Granary%'"):
+def neighbors(spark, sf):
+    """The neighbours of every subject."""
     f = _facts(spark, sf)
-    asked = f.select(F.col("subject").alias("name")).filter(which).distinct()
+    asked = f.select(F.col("subject").alias("name")).filter("subject IS NOT NULL").distinct()
     asked = asked.groupBy(F.lower("name").alias("k")).agg(F.min("name").alias("name")).select("name")
     return fa.neighbors(f, fa.adjacency(f), asked)
 
 
-def neighbors_whole(spark, sf):
-    """The neighbours of every subject."""
-    return neighbors(spark, sf, "subject IS NOT NULL")
-
-
 def source_statistics(spark, sf):
     return fa.source_statistics(_sources(spark, sf))
 
@@ -138,17 +134,13 @@ def _glossary(spark, sf):
     return entries, aliases
 
 
-def glossary_lookup(spark, sf, which="substr(id, 2) % 5 = 0"):
+def glossary_lookup(spark, sf):
+    """The entry of every term and alias."""
     entries, aliases = _glossary(spark, sf)
-    asked = entries.filter(which).select(F.upper("term").alias("asked")).unionByName(aliases.select(F.upper("alias").alias("asked"))).unionByName(spark.createDataFrame([("nothing",)], "asked string"))
+    asked = entries.select(F.upper("term").alias("asked")).unionByName(aliases.select(F.upper("alias").alias("asked"))).unionByName(spark.createDataFrame([("nothing",)], "asked string"))
     return gl.lookup(entries, aliases, asked)
 
 
-def glossary_lookup_whole(spark, sf):
-    """The entry of every term and alias."""
-    return glossary_lookup(spark, sf, "true")
-
-
 def glossary_exists(spark, sf):
     entries, aliases = _glossary(spark, sf)
     asked = _read(spark, sf, "part").select(F.concat(F.lit("ALIAS "), F.col("p_partkey").cast("string")).alias("asked"))
@@ -230,17 +222,13 @@ def _points(spark, sf):
     return _read(spark, sf, "documents").select(F.col("doc_id").alias("id"), "lang", "source", "doc_type", "path")
 
 
-def points_upsert(spark, sf, newer="id % 3 = 0"):
+def points_upsert(spark, sf):
+    """Even points, then all others and some of the even ones."""
     old = _points(spark, sf).filter("id % 2 = 0")
-    new = _points(spark, sf).filter(newer).withColumn("lang", F.lit("xx"))
+    new = _points(spark, sf).filter("id % 2 <> 0 OR id % 3 = 0").withColumn("lang", F.lit("xx"))
     return po.upsert_points(old, new)
 
 
-def points_upsert_whole(spark, sf):
-    """Even points, then all others and some of the even ones."""
-    return points_upsert(spark, sf, "id % 2 <> 0 OR id % 3 = 0")
-
-
 def points_delete_by_filter(spark, sf):
     return po.delete_by_filter(_points(spark, sf), "lang", "en")
 
@@ -314,7 +302,6 @@ QUERIES = {
         fact_delete_cascade, fact_points, connections_all, connections_target, connection_distances, glossary_lookup, glossary_exists, glossary_domains, glossary_list, glossary_collisions, glossary_hashes, glossary_points,
         registry_replace, registry_by_status, registry_update, cache_evict, cache_hits, cache_stats, points_upsert, points_delete_by_filter, points_update_payload, points_scroll, points_retrieve,
         file_changes, file_change_counts, char_spans, byte_spans, fragment_lineage_gaps, fragment_orphans, hourly_events,
-        neighbors_whole, glossary_lookup_whole, points_upsert_whole,
     )
 }
 
@@ -355,7 +342,7 @@ SQL = {
     "fact_by_source": f"WITH {_SOURCES} SELECT DISTINCT f.id FROM facts f JOIN sources s ON f.id = s.fact_id WHERE source_type = 'note' AND source_id = 'src-7'",
     "fact_by_status": f"WITH {_SOURCES} SELECT id FROM facts WHERE id IN (SELECT fact_id FROM sources WHERE status = 'deleted') ORDER BY modified DESC, id LIMIT 100",
     "entity_facts": f"WITH {_ADJ} SELECT DISTINCT fact_id AS id FROM adj WHERE entity_name = 'granary index service'",
-    "neighbors": f"""WITH {_ADJ}, asked AS (SELECT lower(subject) AS k, min(subject) AS name FROM facts WHERE subject LIKE 'Ma%' OR subject LIKE 'Granary%' GROUP BY 1)
+    "neighbors": f"""WITH {_ADJ}, asked AS (SELECT lower(subject) AS k, min(subject) AS name FROM facts WHERE subject IS NOT NULL GROUP BY 1)
 SELECT name, CASE role WHEN 'subject' THEN object ELSE subject END AS entity, CASE role WHEN 'subject' THEN object_type ELSE subject_type END AS type, predicate,
   CASE role WHEN 'subject' THEN 'outgoing' ELSE 'incoming' END AS direction, fact_id FROM asked JOIN adj ON k = entity_name JOIN facts ON facts.id = fact_id""",
     "source_statistics": f"WITH {_SOURCES} SELECT 'status' AS kind, status AS value, count(*) AS sources FROM sources GROUP BY 2 UNION ALL SELECT 'type', source_type, count(*) FROM sources GROUP BY 2 UNION ALL SELECT 'total', NULL, count(*) FROM sources",
@@ -376,7 +363,7 @@ e AS (SELECT lower(subject) AS a, lower(subject_type) AS at_, lower(object) AS b
 r(entity, type, depth) AS (SELECT DISTINCT a, at_, 0 FROM e WHERE a = 'marta ratumoki' UNION SELECT b, bt, depth + 1 FROM r JOIN e ON entity = a AND type = at_ WHERE depth < 3)
 SELECT entity, type, CAST(min(depth) AS BIGINT) AS depth FROM r GROUP BY 1, 2 HAVING min(depth) > 0""",
     "glossary_lookup": f"""WITH {_GLOSSARY}, names AS (SELECT lower(term) AS name, id, 0 AS p FROM entries UNION ALL SELECT lower(alias), entry_id, 1 FROM aliases),
-asked AS (SELECT upper(term) AS asked FROM entries WHERE k % 5 = 0 UNION SELECT upper(alias) FROM aliases)
+asked AS (SELECT upper(term) AS asked FROM entries UNION SELECT upper(alias) FROM aliases)
 SELECT asked, arg_min(id, (p, id)) AS id FROM asked JOIN names ON lower(asked) = name GROUP BY 1""",
     "glossary_exists": "SELECT 'ALIAS ' || p_partkey AS asked, p_partkey % 3 = 0 AS there FROM part",
     "glossary_domains": "SELECT DISTINCT p_type AS domain FROM part WHERE p_type IS NOT NULL",
@@ -390,7 +377,7 @@ SELECT asked, arg_min(id, (p, id)) AS id FROM asked JOIN names ON lower(asked) =
     "cache_evict": f"WITH {_CACHE}, r AS (SELECT *, row_number() OVER (ORDER BY legacy DESC, used, cache_key) AS k, count(*) OVER () AS n FROM cache) SELECT cache_key, legacy FROM r WHERE n <= 440 OR k > greatest(n - 440, 44, 1)",
     "cache_hits": f"WITH {_CACHE} SELECT DISTINCT 'k' || doc_id AS cache_key, EXISTS (SELECT 1 FROM cache WHERE cache_key = 'k' || doc_id AND len(embedding) = 64) AS hit FROM documents",
     "cache_stats": f"WITH {_CACHE} SELECT count(*) AS entries, round(sum(len(embedding) * 4) / 1048576.0, 2) AS size_mb, 0.75::DOUBLE AS hit_rate FROM cache",
-    "points_upsert": f"WITH {_POINTS} SELECT * FROM points WHERE id % 2 = 0 AND id % 3 <> 0 UNION ALL SELECT id, 'xx', source, doc_type, path FROM points WHERE id % 3 = 0",
+    "points_upsert": f"WITH {_POINTS} SELECT * FROM points WHERE id % 2 = 0 AND id % 3 <> 0 UNION ALL SELECT id, 'xx', source, doc_type, path FROM points WHERE id % 2 <> 0 OR id % 3 = 0",
     "points_delete_by_filter": f"WITH {_POINTS} SELECT * FROM points WHERE lang IS DISTINCT FROM 'en'",
     "points_update_payload": f"WITH {_POINTS} SELECT id, lang, source, CASE WHEN lang = 'de' THEN 'translated' ELSE doc_type END AS doc_type, path FROM points",
     "points_scroll": f"WITH {_POINTS} SELECT id, path, lang FROM points WHERE doc_type = 'note' AND (path IS NOT NULL OR lang IS NOT NULL)",
@@ -405,8 +392,3 @@ SELECT parent_id, problem FROM (SELECT parent_id, CASE WHEN a <> n OR b <> n THE
     "fragment_orphans": f"""WITH {_DAMAGED} SELECT parent_id || '/' || "index" AS id, CAST(parent_id AS VARCHAR) AS parent_id FROM damaged WHERE "index" > 0 AND parent_id NOT IN (SELECT parent_id FROM damaged WHERE "index" = 0)""",
     "hourly_events": "SELECT CAST(floor(epoch(date_trunc('hour', ts))) AS BIGINT) AS start, event_type, count(*) AS events, round(sum(value), 4) AS value FROM events GROUP BY 1, 2",
 }
-
-#: Whole queries: the SQL of the short ones, but for the rows asked.
-SQL["neighbors_whole"] = SQL["neighbors"].replace("subject LIKE 'Ma%' OR subject LIKE 'Granary%'", "subject IS NOT NULL")
-SQL["glossary_lookup_whole"] = SQL["glossary_lookup"].replace(" WHERE k % 5 = 0", "")
-SQL["points_upsert_whole"] = SQL["points_upsert"].replace("FROM points WHERE id % 3 = 0", "FROM points WHERE id % 2 <> 0 OR id % 3 = 0")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -39,7 +40,10 @@ def shared_dir(spark: SparkSession) -> str:
     there = sc._jsc.sc().getCheckpointDir()
     if there.isDefined():
         return there.get()
-    return tempfile.mkdtemp(prefix="loomspark-")
+    own = tempfile.mkdtemp(prefix="loomspark-")
+    atexit.register(shutil.rmtree, own, True)
+    sc.setCheckpointDir(own)
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 def ship_package(spark: SparkSession) -> None:

@@ -27,6 +27,7 @@ GOLDEN = {
     "getUserData": ["get", "user", "data"], "UserDataService": ["user", "data", "service"], "get_user_data": ["get", "user", "data"],
     "UPPER_CASE": ["uppe", "case"], "HTTP2Server": ["htt", "server"], "X1": ["x1"], "abc123def456": ["abc", "def"], "XMLParser": ["xml", "parser"],
     "café": ["caf"], "A_B": [], "": [], "   ": [], "123": [], "🦊": [], "中文": [], "a" * 10_000: ["a" * 10_000],
+    "12X1 3_Y2": ["x1", "y2"], "a" + "1" * 150 + "_B2": [], "a" + "1" * 9000 + "_B2": [], "1" * 9000 + "B2": ["b2"],
 }
 
 

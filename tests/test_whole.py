@@ -47,23 +47,23 @@ def dense_scores(allowed=lambda i: True):
 
 
 def test_sparse_asks_every_hundredth_document_with_its_whole_text(spark, folder):
-    assert got(spark, "sparse_topk_whole", folder) == best(sparse_scores())
-    assert got(spark, "sparse_topk_filtered_whole", folder) == best(sparse_scores(lambda i: i % 2))
-    assert {r["query_id"]: r["n"] for r in QUERIES["idf_query_whole"](spark, folder).groupBy("query_id").count().withColumnRenamed("count", "n").collect()} == {0: 2, 100: 2, 200: 1}
+    assert got(spark, "sparse_topk", folder) == best(sparse_scores())
+    assert got(spark, "sparse_topk_filtered", folder) == best(sparse_scores(lambda i: i % 2))
+    assert {r["query_id"]: r["n"] for r in QUERIES["idf_query"](spark, folder).groupBy("query_id").count().withColumnRenamed("count", "n").collect()} == {0: 2, 100: 2, 200: 1}
 
 
 def test_dense_asks_every_hundredth_vector(spark, folder):
-    assert got(spark, "dense_topk_whole", folder) == best(dense_scores())
-    assert got(spark, "dense_topk_filtered_whole", folder) == best(dense_scores(lambda i: i % 2 and i % 10 > 3))
+    assert got(spark, "dense_topk", folder) == best(dense_scores())
+    assert got(spark, "dense_topk_filtered", folder) == best(dense_scores(lambda i: i % 2 and i % 10 > 3))
 
 
 def test_lexical_asks_the_whole_text(spark, folder):
     # `note` and `x` are in every document, but in no query.
-    assert {i for q, i, _ in got(spark, "lexical_topk_whole", folder) if q == 0} == {0, 1, 99, 100}
-    assert {i for q, i, _ in got(spark, "lexical_topk_whole", folder) if q == 100} == {0, 50, 99, 100}
+    assert {i for q, i, _ in got(spark, "lexical_topk", folder) if q == 0} == {0, 1, 99, 100}
+    assert {i for q, i, _ in got(spark, "lexical_topk", folder) if q == 100} == {0, 50, 99, 100}
 
 
-@pytest.mark.parametrize("name, weights", [("hybrid_weighted_whole", (1.0, 0.8)), ("hybrid_equal_whole", (1.0, 1.0))])
+@pytest.mark.parametrize("name, weights", [("hybrid_weighted", (1.0, 0.8)), ("hybrid_equal", (1.0, 1.0))])
 def test_hybrid_fuses_both_for_every_query(spark, folder, name, weights):
     share, first = {}, {}
     for w, ranked in zip(weights, (best(dense_scores(), 50), best(sparse_scores(), 50)), strict=True):
@@ -75,7 +75,7 @@ def test_hybrid_fuses_both_for_every_query(spark, folder, name, weights):
 
 
 def test_grouped_asks_every_query(spark, folder):
-    rows = QUERIES["hybrid_grouped_whole"](spark, folder).collect()
+    rows = QUERIES["hybrid_grouped"](spark, folder).collect()
     assert {r["query_id"] for r in rows} == {0, 100, 200, 300} and {r["group"] for r in rows} == {"s0", "s1", "s2"}
 
 
@@ -87,12 +87,12 @@ def test_lookups_ask_every_row(spark, tmp_path):
     spark.sql("SELECT 'a' codebase_id, 1L doc_count, TIMESTAMP'2025-01-01' last_updated").write.parquet(f"{out}/codebase_doc_counts.parquet")
     spark.createDataFrame([("f1", "Zoe", "Person", "knows", "Bo", "Person"), ("f2", "Martin", "Person", "knows", "Zoe", "Person")], "id string, subject string, subject_type string, predicate string, object string, object_type string").write.parquet(f"{out}/facts.parquet")
     spark.createDataFrame([(i, f"n{i}", "t") for i in range(1, 8)], "p_partkey long, p_name string, p_type string").write.parquet(f"{out}/part.parquet")
-    tokens = QUERIES["index_to_token_whole"](spark, out).collect()
+    tokens = QUERIES["index_to_token"](spark, out).collect()
     assert sorted((r["idx"], r["token"]) for r in tokens) == [(i, t) for t, i, _ in vocabulary]
-    assert {r["token"]: r["match"] for r in QUERIES["fuzzy_tokens_whole"](spark, out).collect()} == {"badgez": "badger"}  # abz is too far from abc
-    linked = {(r["name"], r["entity"], r["fact_id"]) for r in QUERIES["neighbors_whole"](spark, out).collect()}
+    assert {r["token"]: r["match"] for r in QUERIES["fuzzy_tokens"](spark, out).collect()} == {"badgez": "badger"}  # abz is too far from abc
+    linked = {(r["name"], r["entity"], r["fact_id"]) for r in QUERIES["neighbors"](spark, out).collect()}
     assert linked == {("Zoe", "Bo", "f1"), ("Zoe", "Martin", "f2"), ("Martin", "Zoe", "f2")}
-    found = {r["asked"]: r["id"] for r in QUERIES["glossary_lookup_whole"](spark, out).collect()}
+    found = {r["asked"]: r["id"] for r in QUERIES["glossary_lookup"](spark, out).collect()}
     assert found == {f"N{i} {i}": f"g{i}" for i in range(1, 8)} | {"ALIAS 3": "g3", "ALIAS 6": "g6"}
 
 
@@ -110,10 +110,10 @@ def test_transitions_cover_the_table(spark, tmp_path):
     docs = [(i, f"{w} shared", "en", f"s{i}", "note", "x") for i, w in enumerate(["zero", "one", "two", "three", "four", "five", "six", "seven"])]
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, doc_type string, path string").write.parquet(f"{out}/documents.parquet")
     every = {w.split()[0] for _, w, *_ in docs} | {"shared"}
-    assert {r["token"]: r["doc_freq"] for r in QUERIES["vocab_register_whole"](spark, out).collect()} == {w: 8 if w == "shared" else 1 for w in every}
+    assert {r["token"]: r["doc_freq"] for r in QUERIES["vocab_register"](spark, out).collect()} == {w: 8 if w == "shared" else 1 for w in every}
     # 1 and 5 are added and taken away again.
-    assert {(r["codebase_id"], r["token"]) for r in QUERIES["vocab_incremental_whole"](spark, out).collect()} == {(f"s{i}", w) for i, t, *_ in docs if i not in (1, 5) for w in t.split()}
-    assert {r["id"]: r["lang"] for r in QUERIES["points_upsert_whole"](spark, out).collect()} == {i: "xx" if i % 2 or i % 3 == 0 else "en" for i in range(8)}
+    assert {(r["codebase_id"], r["token"]) for r in QUERIES["vocab_incremental"](spark, out).collect()} == {(f"s{i}", w) for i, t, *_ in docs if i not in (1, 5) for w in t.split()}
+    assert {r["id"]: r["lang"] for r in QUERIES["points_upsert"](spark, out).collect()} == {i: "xx" if i % 2 or i % 3 == 0 else "en" for i in range(8)}
 
 
 def test_null_and_zero_differ_in_snapshots(spark):
