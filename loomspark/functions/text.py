@@ -71,6 +71,13 @@ def most_edits(longer: int, threshold: float) -> int:
     return next((d for d in range(longer - 1, -1, -1) if 1.0 - d / longer >= threshold), -1)
 
 
+def qualifying_edits(longer: Column | str, threshold: float) -> Column:
+    """most_edits as a column: the largest distance below a length whose similarity reaches the threshold, or -1."""
+    longer = _col(longer)
+    able = F.filter(F.sequence(F.lit(0), longer - 1), lambda d: 1.0 - d / longer >= threshold)
+    return F.when(longer > 0, F.coalesce(F.array_max(able), F.lit(-1))).otherwise(F.lit(-1))
+
+
 def spaced_camel_case(text: Column | str) -> Column:
     """The text with a space at every letter-case boundary."""
     once = F.regexp_replace(_col(text), "([a-z])([A-Z])", "$1 $2")

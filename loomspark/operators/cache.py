@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from loomspark.sources.tables import upsert
+from loomspark.sources.tables import numbered, upsert
 
 #: Version of the key's form (fixed value).
 SCHEMA_VERSION = 2
@@ -57,13 +57,14 @@ def set_many(cache: DataFrame, new: DataFrame, dim: int) -> DataFrame:
 def evict(cache: DataFrame, most: int) -> DataFrame:
     """The cache without its oldest entries if it has more than `most`: at least a tenth of `most` and one goes, legacy ones first.
 
-    How many go is one count; which ones is a global order that only the going ones are numbered in.
+    How many go is one count; which ones is a global order that is numbered range by range, in many tasks.
     """
     total = cache.count()
     if total <= most:
         return cache
     n = max(total - most, int(most * 0.1), 1)
-    going = cache.orderBy(F.desc("legacy"), "accessed_at", "cache_key").select("cache_key").limit(n)
+    order = [F.desc("legacy"), F.asc("accessed_at"), F.asc("cache_key")]
+    going = numbered(cache.select("legacy", "accessed_at", "cache_key"), order, "__at").filter(F.col("__at") < n).select("cache_key")
     return cache.join(going, "cache_key", "left_anti")
 
 
@@ -124,3 +125,14 @@ class TtlCache:
     def __contains__(self, key: str) -> bool:
         item = self._items.get(key)
         return item is not None and self.clock() - item[0] <= self.ttl
+
+
+def legacy_rows(rows: DataFrame, dim: int) -> DataFrame:
+    """(cache_key, embedding) of rows whose vector is kept as JSON (cache_key, vector); a broken vector gives none."""
+    parsed = rows.select("cache_key", F.from_json("vector", "array<float>").alias("embedding"))
+    return parsed.filter(usable(dim))
+
+
+def clear(cache: DataFrame) -> DataFrame:
+    """The cache without its entries."""
+    return cache.limit(0)

@@ -108,3 +108,32 @@ def embed_cached(df: DataFrame, text: str, key, cache: DataFrame, make: Callable
     fresh = embed(texts.join(known, "cache_key", "left_anti"), "text", make, dim, **options).withColumn("cache_key", key(F.col("text")))
     hits = texts.join(known, "cache_key").select("text", "cache_key", "embedding")
     return hits.unionByName(fresh.select("text", "cache_key", "embedding")), fresh.select("cache_key", "embedding")
+
+
+def embed_all(df: DataFrame, text: str, ordinal: str, key, cache: DataFrame, make: Callable[[], Embedder], dim: int, **options) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """((ordinal, embedding) for every row, new cache rows, counts): each distinct text is embedded at most once.
+
+    Results are joined back by text, so rows keep their ordinals and repeats share a vector; a null or
+    empty text has a null vector. counts is one row: rows, texts (distinct), cached, made.
+    """
+    found, fresh = embed_cached(df, text, key, cache, make, dim, **options)
+    own = df.select(F.col(ordinal).alias("ordinal"), F.col(text).alias("text"))
+    every = own.join(found.select("text", "embedding"), "text", "left").select("ordinal", "embedding")
+    texts = own.filter(F.length("text") > 0).groupBy("text").agg(F.count(F.lit(1)).alias("n")).withColumn("cache_key", key(F.col("text")))
+    known = texts.join(cache.filter(usable(dim)).select("cache_key", F.lit(1).alias("hit")), "cache_key", "left")
+    counts = known.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count(F.lit(1)).alias("texts"), F.count("hit").alias("cached"), F.count_if(F.col("hit").isNull()).alias("made"))
+    return every, fresh, counts
+
+
+def request_numbers(df: DataFrame, key: str, text: str, most: int, most_bytes: int) -> DataFrame:
+    """(key, request): requests of at most `most` texts and `most_bytes` bytes, as `embed` sends them; one per input partition begins anew."""
+    schema = pa.schema([(key, pa.int64()), ("request", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun = 0
+        for b in batches:
+            sizes = [len(x) for x in requests([t or "" for t in b.column(1).to_pylist()], most, most_bytes)]
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(np.repeat(np.arange(begun, begun + len(sizes)), sizes))], schema=schema)
+            begun += len(sizes)
+
+    return df.select(key, text).mapInArrow(run, f"`{key}` long, request long")

@@ -213,3 +213,13 @@ def neighbors(facts: DataFrame, adjacent: DataFrame, entities: DataFrame) -> Dat
 def all_facts(facts: DataFrame) -> DataFrame:
     """Every readable fact, latest modified first; rows without id or with a broken time are skipped."""
     return facts.filter("id IS NOT NULL AND modified IS NOT NULL").orderBy(F.desc("modified"), "id")
+
+
+def by_hash(facts: DataFrame, hashes: DataFrame) -> DataFrame:
+    """The facts with one of the `hashes` (spo_hash)."""
+    return facts.join(hashes.select("spo_hash").distinct(), "spo_hash", "left_semi")
+
+
+def counted(facts: DataFrame) -> DataFrame:
+    """One row: facts."""
+    return facts.agg(F.count(F.lit(1)).alias("facts"))

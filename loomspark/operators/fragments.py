@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from loomspark.functions.ids import fragment_id
+from loomspark.functions.ids import fragment_id, glossary_text, payload_hash
 
 #: Columns that a derived fragment keeps of its parent's payload (fixed values).
 CHILD_FIELDS = (
@@ -129,11 +129,16 @@ def fragment_rows(parents: DataFrame, cuts: DataFrame, key: str = "id", text: st
     return joined.select(new_id.alias("id"), marker(F.col("__parent"), F.col("__digest"), F.col("start"), F.col("end"), F.col("index"), F.col("count")).alias("fragment"), "fragment_text", *kept)
 
 
-def replace_groups(points: DataFrame, fragments: DataFrame) -> DataFrame:
+def replace_groups(points: DataFrame, fragments: DataFrame, text_length: str | None = None) -> DataFrame:
     """The points after the fragments replace all rows of their parents, stale children included.
 
-    A new row whose id belongs to a row of another parent is an error when it is read.
+    Groups that don't cover their source once and in order (and up to the length in the column
+    `text_length`, if there is one) are an error before anything is replaced. A new row whose id belongs to a row of another parent is an error when it is read.
     """
+    own = fragments.filter("fragment IS NOT NULL").select(*[F.col(f"fragment.{c}").alias(c) for c in ("parent_id", "index", "start", "end", "count", "source_hash")], *([text_length] if text_length else []))
+    if bad := lineage_gaps(own, text_length).limit(1).collect():
+        raise ValueError(f"the fragments of {bad[0]['parent_id']} are broken: {bad[0]['problem']}")
+    fragments = fragments.drop(text_length) if text_length else fragments
     parents = fragments.select(F.col("fragment.parent_id").alias("__p")).distinct()
     owner = F.coalesce(F.col("fragment.parent_id"), F.col("id"))
     kept = points.withColumn("__o", owner).join(parents, F.col("__o") == F.col("__p"), "left_anti").drop("__o")
@@ -176,3 +181,23 @@ def embedding_text(columns: list[str]) -> Column:
     broken = F.raise_error(F.lit("a row has no valid embedding text")).cast("string")
     full = lambda c: F.when(F.length(c) > 0, c).otherwise(broken)
     return F.when(F.col("embedding_text").isNotNull(), full(F.col("embedding_text"))).when(F.col("embedding_text_field").isNotNull(), full(named))
+
+
+def resolved_texts(points: DataFrame, entries: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(id, embedding_text) of points by their `type`: the text each was embedded from.
+
+    Facts give their content, glossary points the text of their entry, which must be there with the same
+    term, expansion and shown definition; all others their own embedding_text or else content. A point
+    without a text, or a glossary point that no longer matches its entry, is an error when it is read.
+    """
+    listed = aliases.groupBy(F.col("entry_id").alias("__id")).agg(F.array_sort(F.collect_list("alias")).alias("__aliases"))
+    names = F.coalesce("__aliases", F.array().cast("array<string>"))
+    canonical = entries.join(listed, entries["id"] == listed["__id"], "left").select(
+        F.col("id").alias("__g"), glossary_text("term", "expansion", "definition", "domain", names).alias("__text"), payload_hash("term", "expansion", "definition").alias("__hash")
+    )
+    joined = points.join(canonical, (points["type"] == "glossary") & (points["glossary_id"] == canonical["__g"]), "left")
+    own = F.coalesce(F.nullif("embedding_text", F.lit("")), F.nullif("content", F.lit("")))
+    glossary = F.when(F.col("entry_hash") == F.col("__hash"), F.col("__text"))
+    chosen = F.when(F.col("type") == "glossary", glossary).when(F.col("type") == "fact", F.nullif("content", F.lit(""))).otherwise(own)
+    broken = F.raise_error(F.concat(F.lit("no valid embedding text for "), F.col("id").cast("string"))).cast("string")
+    return joined.select("id", F.coalesce(chosen, broken).alias("embedding_text"))

@@ -152,3 +152,34 @@ class Tools:
 
     def list(self, domain: str | None = None, limit: int = 50) -> list[dict[str, Any]]:
         return [r.asDict() for r in list_entries(self.entries, domain, min(limit, self.MOST)).collect()]
+
+    def update(self, term_or_id: str, **changes: Any) -> dict[str, Any]:
+        """Changes the given values (term, expansion, definition, domain, aliases) of an entry; texts are stripped."""
+        own = self.get(term_or_id)
+        if "error" in own:
+            return own
+        clean = {k: v.strip() if isinstance(v, str) else v for k, v in changes.items()}
+        if unknown := [k for k in clean if k not in ("term", "expansion", "definition", "domain", "aliases")]:
+            return error_response(ErrorCode.INVALID_INPUT, f"unknown value {unknown[0]}")
+        if blank := [k for k in ("term", "expansion", "definition") if k in clean and not clean[k]]:
+            return error_response(ErrorCode.INVALID_INPUT, f"blank {blank[0]}")
+        if "aliases" in clean:
+            clean["new_aliases"] = [a.strip() for a in clean.pop("aliases") or [] if a and a.strip()]
+        try:
+            self.entries, self.aliases = update(self.entries, self.aliases, own["id"], **clean)
+        except ValueError as e:
+            return error_response(ErrorCode.DUPLICATE, str(e))
+        return {"id": own["id"], "term": clean.get("term", own["term"])}
+
+    def domains(self) -> list[str]:
+        return [r["domain"] for r in domains(self.entries).limit(self.MOST).collect()]
+
+    def stats(self) -> dict[str, int]:
+        row = stats(self.entries, self.aliases).first()
+        return row.asDict()
+
+
+def stats(entries: DataFrame, aliases: DataFrame) -> DataFrame:
+    """One row: entries, aliases, domains."""
+    own = entries.select(F.lit(1).alias("e"), F.lit(0).alias("a"), "domain").unionByName(aliases.select(F.lit(0).alias("e"), F.lit(1).alias("a"), F.lit(None).cast("string").alias("domain")))
+    return own.agg(F.coalesce(F.sum("e"), F.lit(0)).alias("entries"), F.coalesce(F.sum("a"), F.lit(0)).alias("aliases"), F.count_distinct("domain").alias("domains"))

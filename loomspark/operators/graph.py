@@ -10,7 +10,7 @@ from loomspark.config import DEFAULTS
 from loomspark.session import cut_lineage
 
 
-def connections(adjacent: DataFrame, source: str, target: str | None = None, source_type: str | None = None, target_type: str | None = None, max_depth: int = 3, limit: int = 10, visited_cap: int = DEFAULTS.graph_visited) -> DataFrame:
+def connections(adjacent: DataFrame, source: str, target: str | None = None, source_type: str | None = None, target_type: str | None = None, max_depth: int = 3, limit: int = 10, visited_cap: int | None = DEFAULTS.graph_visited) -> DataFrame:
     """(path_no, depth, path, entity, type): paths of facts from an entity, shortest first.
 
     With a target: one path for every link that reaches it from an entity the search visits. Without: one
@@ -18,7 +18,8 @@ def connections(adjacent: DataFrame, source: str, target: str | None = None, sou
     links of all entities of a level are found by one join; an entity belongs to the first that discovers
     it, by (rank of the parent, fact id), so the order is that of a queue. No fact repeats in a path. The
     search ends at `limit` paths, at the depth, without new entities, or beyond `visited_cap` visited ones;
-    so a level has at most that many entities, and it is the only thing that is broadcast.
+    so a level has at most that many entities, and may be broadcast. With None there is no such end, and
+    levels of any size are joined without a hint.
     """
     spark = adjacent.sparkSession
     max_depth = min(max(1, max_depth), DEFAULTS.graph_depth)
@@ -27,21 +28,25 @@ def connections(adjacent: DataFrame, source: str, target: str | None = None, sou
     if source_type:
         start = start.filter(F.col("entity_type") == source_type.lower())
     rank = F.row_number().over(W.orderBy("parent", "fact_id", *key))
-    frontier = start.select(*key).distinct().orderBy(*key).limit(visited_cap + 1).select(*key, F.array().cast("array<string>").alias("path"), F.row_number().over(W.orderBy(*key)).alias("rank"))
+    frontier = start.select(*key).distinct().orderBy(*key)
+    frontier = (frontier if visited_cap is None else frontier.limit(visited_cap + 1)).select(*key, F.array().cast("array<string>").alias("path"), F.row_number().over(W.orderBy(*key)).alias("rank"))
     frontier = cut_lineage(frontier)
     visited = frontier.select(*key)
     seen, found, paths = frontier.count(), 0, None
+    hinted = F.broadcast if visited_cap is not None else lambda df: df
     other = adjacent.select("fact_id", "role", F.col("entity_name").alias("name"), F.col("entity_type").alias("type"))
     for depth in range(1, max_depth + 1):
-        if seen > visited_cap or found >= limit:
+        if visited_cap is not None and seen > visited_cap or found >= limit:
             break
-        mine = adjacent.join(F.broadcast(frontier), key).groupBy(*key, "fact_id").agg(F.min("role").alias("own"), F.first("path").alias("path"), F.first("rank").alias("parent"))
+        mine = adjacent.join(hinted(frontier), key).groupBy(*key, "fact_id").agg(F.min("role").alias("own"), F.first("path").alias("path"), F.first("rank").alias("parent"))
         mine = mine.filter(~F.array_contains("path", F.col("fact_id")))
         steps = mine.join(other, (mine["fact_id"] == other["fact_id"]) & (mine["own"] != other["role"])).select(
             F.col("name").alias("entity_name"), F.col("type").alias("entity_type"), mine["fact_id"], "parent", F.array_append("path", mine["fact_id"]).alias("path")
         )
+        steps = cut_lineage(steps) if target else steps
         first = steps.groupBy(*key).agg(F.min_by(F.struct("parent", "fact_id", "path"), F.struct("parent", "fact_id")).alias("f")).select(*key, "f.parent", "f.fact_id", "f.path")
-        new = first.join(F.broadcast(visited), key, "left_anti").orderBy("parent", "fact_id").limit(visited_cap + 1)
+        new = first.join(hinted(visited), key, "left_anti")
+        new = new if visited_cap is None else new.orderBy("parent", "fact_id").limit(visited_cap + 1)
         new = cut_lineage(new.select(*key, "path", rank.alias("rank")))
         if target:
             hit = steps.filter(F.col("entity_name") == target.lower())
@@ -56,7 +61,7 @@ def connections(adjacent: DataFrame, source: str, target: str | None = None, sou
         if not added:
             break
         seen += added
-        visited = cut_lineage(visited.unionByName(new.select(*key)))
+        visited = visited.unionByName(new.select(*key))
     if paths is None:
         return spark.createDataFrame([], "path_no int, depth int, path array<string>, entity string, type string")
     numbered = paths.withColumn("path_no", F.row_number().over(W.orderBy("depth", "rank"))).filter(F.col("path_no") <= limit)

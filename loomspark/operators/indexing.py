@@ -13,6 +13,7 @@ from loomspark.functions.text import tokens
 from loomspark.operators import vocabulary as voc
 from loomspark.operators.embedding import Embedder, embed
 from loomspark.operators.fragments import is_derived
+from loomspark.operators.points import delete_points, upsert_points
 from loomspark.operators.tfidf import packed
 
 #: How much of a definition is kept for display (fixed value).
@@ -95,3 +96,26 @@ def change_index(state: voc.State, codebase_id: str, added: DataFrame, removed:
     down, m = text_frequencies(removed, codebase_id, text)
     net = n.select("codebase_id", F.col("doc_count").alias("change")).unionByName(m.select("codebase_id", (-F.col("doc_count")).alias("change"))).groupBy("codebase_id").agg(F.sum("change").alias("change"))
     return voc.incremental(state, up, down, net)
+
+
+def index_rows(state: voc.State, points: DataFrame, payloads: DataFrame, codebase_id: str, text: str, make: Callable[[], Embedder]) -> Indexed:
+    """The index after single entries were added or changed: points (id, payload columns, dense, sparse) by `payloads`.
+
+    The vocabulary moves first, by one delta of what the entries have now against what their stored points
+    had, so no text meets a vocabulary without its tokens; then the points are made and replace the old
+    ones. Nothing is written here: a failure leaves the tables as they were.
+    """
+    own = payloads.withColumn("id", F.col("point_id"))
+    before = points.join(own.select("id"), "id", "left_semi").select(F.col("id").alias("point_id"), text)
+    after = change_index(state, codebase_id, payloads, before, text)
+    tf = voc.document_vectors(after, payloads, "point_id", text)
+    sparse = packed(tf.withColumnRenamed("doc_id", "id"), "id", "tf")
+    dense = embed(payloads, text, make).select(F.col("text").alias("__text"), F.col("embedding").alias("dense"))
+    made = own.join(sparse, "id", "left").join(dense, own[text] == dense["__text"], "left").drop("__text", "point_id")
+    return Indexed(upsert_points(points, made), after, points.count(), payloads.count())
+
+
+def retire_rows(state: voc.State, points: DataFrame, ids: DataFrame, codebase_id: str, text: str) -> tuple[voc.State, DataFrame]:
+    """(state, points) without the points of `ids` (id); their tokens leave the vocabulary's counts with them."""
+    gone = points.join(ids.select("id"), "id", "left_semi").select(F.col("id").alias("point_id"), text)
+    return change_index(state, codebase_id, gone.limit(0), gone, text), delete_points(points, ids)

@@ -94,7 +94,9 @@ def incremental(state: State, added: DataFrame, removed: DataFrame, net: DataFra
     moves = added.select(*key, F.col("doc_freq").alias("up"), F.lit(0).alias("down")).unionByName(removed.select(*key, F.lit(0).alias("up"), F.col("doc_freq").alias("down")))
     moves = moves.groupBy(*key).agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
     touched = moves.join(state.contributions, key, "left").withColumn("now", F.coalesce("doc_freq", F.lit(0)))
-    after = touched.withColumn("after", F.greatest(F.col("now") + F.col("up") - F.col("down"), F.lit(0)))
+    too_many = F.raise_error(F.concat(F.lit("the count of "), F.col("token"), F.lit(" leaves 64 bits"))).cast("long")
+    up = F.when(F.col("up") > F.lit(MOST) - F.col("now"), too_many).otherwise(F.col("up"))
+    after = touched.withColumn("after", F.greatest(F.col("now") + up - F.col("down"), F.lit(0)))
     vocabulary = _apply(state, after.groupBy("token").agg(F.sum(F.col("after") - F.col("now")).alias("delta")))
     contributions = state.contributions.join(moves, key, "left_anti").unionByName(after.filter("after > 0").select(*key, F.col("after").alias("doc_freq")))
     counts = state.doc_counts.join(net, "codebase_id", "full")

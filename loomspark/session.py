@@ -6,10 +6,17 @@ import atexit
 import os
 import shutil
 import tempfile
+import threading
+import uuid
+from collections.abc import Callable
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+T = TypeVar("T")
+
+
 def build_session(app: str = "loomspark", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the engine is written for; `conf` overrides them."""
     base = {
@@ -70,6 +77,30 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
 
 
+def in_time(spark: SparkSession, operation: str, seconds: float, run: Callable[[], T]) -> T:
+    """What `run` gives, or a TimeoutError that names the operation; its jobs are cancelled when the time is up."""
+    sc = spark.sparkContext
+    tag = f"loomspark-{uuid.uuid4().hex}"
+    over = threading.Event()
+
+    def stop() -> None:
+        over.set()
+        sc.cancelJobsWithTag(tag)
+
+    timer = threading.Timer(seconds, stop)
+    sc.addJobTag(tag)
+    timer.start()
+    try:
+        return run()
+    except Exception as e:
+        if over.is_set():
+            raise TimeoutError(f"{operation} took more than {seconds} s") from e
+        raise
+    finally:
+        timer.cancel()
+        sc.removeJobTag(tag)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """`df` written to the shared folder and read from there: reliable, so a lost executor costs nothing."""
     spark = df.sparkSession

@@ -113,6 +113,11 @@ class Store:
 
     def read(self, name: str, part: str | None = None) -> DataFrame:
         """The current version (or a part of it); it stays readable while later versions are written."""
+        own = self._manifest(name)
+        if "buckets" in own:
+            schema = T.StructType.fromJson(own["schema"])
+            paths = [f"{self.root}/{name}/{version}/__bucket={b}" for b, version in own["buckets"].items()]
+            return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
         return self.spark.read.parquet(f"{self.root}/{name}/{self._manifest(name)['version']}" + (f"/{part}" if part else ""))
 
     def publish(self, name: str, df: DataFrame, metadata: dict[str, Any] | None = None, partition_by: list[str] | None = None) -> str:
@@ -124,6 +129,24 @@ class Store:
         self._write(f"{self.root}/{name}/CURRENT", json.dumps({"version": version, "metadata": old.get("metadata", {}) | (metadata or {})}))
         return version
 
+    def publish_buckets(self, name: str, df: DataFrame, keys: list[str], buckets: int, metadata: dict[str, Any] | None = None) -> str:
+        """Writes `df` in `buckets` folders by a hash of its keys, so that an upsert writes only those that it touches."""
+        old = json.loads(self._read(f"{self.root}/{name}/CURRENT") or "{}")
+        return self._write_buckets(name, df, {"metadata": old.get("metadata", {}) | (metadata or {}), "keys": keys, "of": buckets, "schema": df.schema.jsonValue(), "buckets": {}})
+
+    def _in_buckets(self, df: DataFrame, own: dict[str, Any]) -> DataFrame:
+        return df.withColumn("__bucket", F.pmod(F.xxhash64(*own["keys"]), F.lit(own["of"])).cast("int"))
+
+    def _write_buckets(self, name: str, df: DataFrame, own: dict[str, Any]) -> str:
+        """The rows of `df` as new folders in the place of those of their buckets; the others stay where they are."""
+        version = f"v-{uuid.uuid4().hex}"
+        path = f"{self.root}/{name}/{version}"
+        self._in_buckets(df, own).repartition("__bucket").write.partitionBy("__bucket").parquet(path)
+        made = [s.getPath().getName() for s in self._fs.listStatus(self._path(path)) if s.isDirectory()]
+        own = own | {"version": version, "buckets": own["buckets"] | {n.split("=")[1]: version for n in made if n.startswith("__bucket=")}}
+        self._write(f"{self.root}/{name}/CURRENT", json.dumps(own))
+        return version
+
     def publish_parts(self, name: str, parts: dict[str, DataFrame], metadata: dict[str, Any] | None = None) -> str:
         """Several tables as one version: all of them become current at once, or none."""
         old = json.loads(self._read(f"{self.root}/{name}/CURRENT") or "{}")
@@ -145,13 +168,26 @@ class Store:
         own["metadata"] = there | values
         self._write(f"{self.root}/{name}/CURRENT", json.dumps(own))
 
-    def upsert(self, name: str, new: DataFrame, keys: list[str], order: str | None = None) -> str:
-        return self.publish(name, upsert(self.read(name), new, keys, order))
+    def upsert(self, name: str, new: DataFrame, keys: list[str], order: str | None = None, metadata: dict[str, Any] | None = None) -> str:
+        """Rows of `new` in the place of those with the same keys. Of a collection in buckets of these keys only those touched are written.
+
+        Which ones these are is at most the number of buckets, so that much comes to the driver.
+        """
+        own = self._manifest(name)
+        if own.get("keys") == keys:
+            own["metadata"] = own.get("metadata", {}) | (metadata or {})
+            touched = {str(r[0]) for r in self._in_buckets(new, own).select("__bucket").distinct().collect()}
+            schema = T.StructType.fromJson(own["schema"])
+            paths = [f"{self.root}/{name}/{version}/__bucket={b}" for b, version in own["buckets"].items() if b in touched]
+            old = self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+            return self._write_buckets(name, upsert(old, new, keys, order).select(*schema.names), own)
+        return self.publish(name, upsert(self.read(name), new, keys, order), metadata)
 
     def vacuum(self, name: str) -> int:
         """Deletes the versions that aren't current; returns how many."""
-        current = self._manifest(name)["version"]
-        old = [s.getPath() for s in self._fs.listStatus(self._path(f"{self.root}/{name}")) if s.getPath().getName().startswith("v-") and s.getPath().getName() != current]
+        own = self._manifest(name)
+        current = {own["version"], *own.get("buckets", {}).values()}
+        old = [s.getPath() for s in self._fs.listStatus(self._path(f"{self.root}/{name}")) if s.getPath().getName().startswith("v-") and s.getPath().getName() not in current]
         for p in old:
             self._fs.delete(p, True)
         return len(old)

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from loomspark.operators import vocabulary as voc
-from loomspark.sources.tables import Store, upsert
+from loomspark.sources.tables import Store
 
 
 def upsert_stream(stream: DataFrame, store: Store, name: str, keys: list[str], order: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Upserts every batch into a collection; a batch that is delivered again changes nothing.
+    """Upserts every batch into a collection (only the buckets it touches, if it has buckets by these keys); a batch that is delivered again changes nothing.
 
     The number of the last applied batch is kept with the collection and moves with its pointer.
     """
@@ -19,7 +19,7 @@ def upsert_stream(stream: DataFrame, store: Store, name: str, keys: list[str], o
     def apply(batch: DataFrame, number: int) -> None:
         if store.metadata(name).get("last_batch", -1) >= number:
             return
-        store.publish(name, upsert(store.read(name), batch, keys, order), {"last_batch": number})
+        store.upsert(name, batch, keys, order, {"last_batch": number})
 
     writer = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
