@@ -14,6 +14,54 @@ from loomspark.sources.tables import upsert
 NOT_NEGATIVE = {"note_chunk": ("chunk_index", "char_start", "char_end"), "code_file": ("line_count", "size"), "code_chunk": ("start_line", "end_line")}
 
 
+# The fields of each kind of payload: name, type, whether it must be there, default.
+_CHUNK = (("start_line", "int", True, None), ("end_line", "int", True, None), ("content", "string", True, None))
+PAYLOADS = {
+    "note": (
+        ("note_id", "string", True, None), ("title", "string", True, None), ("tags", "array<string>", False, "array()"), ("category", "string", False, None),
+        ("created", "string", True, None), ("modified", "string", True, None), ("note_hash", "string", True, None),
+    ),
+    "note_chunk": (
+        *_CHUNK, ("note_id", "string", True, None), ("title", "string", True, None), ("chunk_index", "int", True, None), ("section_title", "string", False, None),
+        ("tags", "array<string>", False, "array()"), ("category", "string", False, None),
+    ),
+    "code_file": (
+        ("path", "string", True, None), ("abs_path", "string", True, None), ("language", "string", True, None), ("file_hash", "string", True, None), ("summary", "string", False, "''"),
+        ("line_count", "int", True, None), ("size_bytes", "int", True, None), ("mtime", "double", True, None),
+    ),
+    "code_chunk": (
+        *_CHUNK, ("path", "string", True, None), ("abs_path", "string", True, None), ("language", "string", True, None), ("file_hash", "string", True, None),
+        ("chunk_type", "string", True, None), ("name", "string", True, None), ("context", "string", False, None),
+    ),
+}
+# What `type` says of each kind.
+PAYLOAD_TYPES = {"note": "note", "note_chunk": "chunk", "code_file": "file", "code_chunk": "chunk"}
+
+
+def typed_payloads(df: DataFrame, kind: str) -> DataFrame:
+    """`df` with `type`, the fields of a kind of payload in their types (defaults where null or not there), its other columns, and `problem`.
+
+    problem is null for a payload that can be stored; otherwise it names the first field that is missing,
+    isn't of its type or is a negative whole number.
+    """
+    fields = PAYLOADS[kind]
+    shown, checks = [F.lit(PAYLOAD_TYPES[kind]).alias("type")], []
+    for name, kind_of, needed, default in fields:
+        raw = F.col(name) if name in df.columns else F.lit(None)
+        value = raw.cast(kind_of) if kind_of.startswith("array") or name not in df.columns or dict(df.dtypes)[name] == kind_of else raw.try_cast(kind_of)
+        if default:
+            value = F.coalesce(value, F.expr(default).cast(kind_of))
+        shown.append(value.alias(name))
+        if needed:
+            checks.append(F.when(raw.isNull(), F.lit(f"{name} is missing")))
+        if not kind_of.startswith("array"):
+            checks.append(F.when(raw.isNotNull() & value.isNull(), F.lit(f"{name} is not of its type")))
+        if kind_of == "int":
+            checks.append(F.when(value < 0, F.lit(f"{name} is negative")))
+    names = {"type", "problem", *(f[0] for f in fields)}
+    return df.select(*shown, *[c for c in df.columns if c not in names], F.coalesce(*checks).alias("problem"))
+
+
 def sparse_struct(indices: Column | str, values: Column | str) -> Column:
     return F.struct(F.col(indices).alias("indices") if isinstance(indices, str) else indices.alias("indices"), F.col(values).alias("values") if isinstance(values, str) else values.alias("values"))
 

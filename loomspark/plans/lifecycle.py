@@ -204,6 +204,11 @@ def invalid_payloads(spark, sf):
     return po.invalid_payloads(c).select("chunk_id")
 
 
+def payload_problems(spark, sf):
+    """The first thing that keeps a chunk of code from being stored."""
+    return po.typed_payloads(_read(spark, sf, "code_chunks"), "code_chunk").select("chunk_id", "type", "start_line", "problem")
+
+
 def ignored_paths(spark, sf):
     """Which paths the lines of an ignore file are about: the last line that matches decides."""
     rules = IgnoreRules(RULES)
@@ -558,7 +563,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         qualifying_edits, query_preprocess, query_preprocess_code, file_hashes, note_texts, payload_times, time_of_query, uuid_checks, path_checks,
-        vocab_growth, tfidf_query, tfidf_saved, invalid_counts, vocab_snapshot, search_in_time, collections, points_by_index, points_bucketed, points_delete, collection_metadata, point_rows, invalid_payloads,
+        vocab_growth, tfidf_query, tfidf_saved, invalid_counts, vocab_snapshot, search_in_time, collections, points_by_index, points_bucketed, points_delete, collection_metadata, point_rows, invalid_payloads, payload_problems,
         ignored_paths, discovered_files, fact_batch, fact_update, fact_add_sources, fact_by_hash, fact_count, fact_iter, fact_documents, source_marks,
         glossary_create, glossary_read, glossary_update, glossary_delete, glossary_find, glossary_stats, glossary_tools, glossary_search,
         byte_spans_checks, token_spans_checks, fragment_points, fragment_markers, fragment_replace, embedding_texts, shared_texts, index_facts, index_glossary, index_entries, stored_tokens, generation_publish, identity_fingerprints,
@@ -626,6 +631,9 @@ SELECT doc_id AS query_id, idx, round(ln(((SELECT count(*) FROM documents) + 1.0
     "collection_metadata": "SELECT 64 AS dimension, 'alpha' AS model, count(*) AS rows FROM documents",
     "point_rows": f"WITH h AS (SELECT *, sha256('vec:' || vec_id) AS h FROM embeddings) SELECT vec_id, {knowledge._UUID4.format(h='h')} AS id, len(embedding) AS size, 'label ' || label AS payload FROM h",
     "invalid_payloads": "SELECT chunk_id FROM code_chunks WHERE start_line < 20 OR end_line < 0",
+    "payload_problems": """SELECT chunk_id, 'chunk' AS type, start_line, CASE WHEN start_line IS NULL THEN 'start_line is missing' WHEN start_line < 0 THEN 'start_line is negative' WHEN end_line IS NULL THEN 'end_line is missing' WHEN end_line < 0 THEN 'end_line is negative'
+  WHEN content IS NULL THEN 'content is missing' WHEN path IS NULL THEN 'path is missing' WHEN abs_path IS NULL THEN 'abs_path is missing' WHEN language IS NULL THEN 'language is missing' WHEN file_hash IS NULL THEN 'file_hash is missing'
+  WHEN chunk_type IS NULL THEN 'chunk_type is missing' WHEN name IS NULL THEN 'name is missing' END AS problem FROM code_chunks""",
     "ignored_paths": r"""WITH p AS (SELECT DISTINCT replace(relative_path, chr(92), '/') AS path FROM file_snapshots WHERE relative_path IS NOT NULL)
 SELECT path, CASE WHEN regexp_full_match(path, '(.*/)?keep_[^/]*\.md(/.*)?') THEN false ELSE regexp_full_match(path, '(.*/)?core/.+') OR regexp_full_match(path, '(.*/)?[^/]*\.md(/.*)?') END AS ignored FROM p""",
     "discovered_files": "SELECT doc_id, strlen(text) + 1 AS size, sha256(text || chr(10)) AS content_hash, len(string_split(text, chr(10))) + 1 AS lines FROM documents WHERE text IS NOT NULL AND strlen(text) < 1000000",

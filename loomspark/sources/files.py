@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.config import DEFAULTS
+from loomspark.session import cut_lineage
 
 # Directories that never hold sources.
 SKIPPED_DIRECTORIES = frozenset(
@@ -68,10 +71,10 @@ class IgnoreRules:
         return next((ignored for ignored, form in reversed(self.patterns) if form.fullmatch(path)), None)
 
 
-def _rules_at(path: str) -> IgnoreRules | None:
+def _lines_at(path: str) -> list[str] | None:
     try:
         with open(path, encoding="utf-8", errors="ignore") as f:
-            return IgnoreRules(f.read().splitlines())
+            return f.read().splitlines()
     except OSError:
         return None
 
@@ -90,42 +93,88 @@ class Discovery:
     exclude: list[str] = field(default_factory=list)
     ignore_names: tuple[str, ...] = (".gitignore",)
 
-    def walk(self, root: str) -> Iterator[tuple[str, str, os.stat_result]]:
-        """(absolute path, path below the root, stat) of the wanted files."""
+    def entries(self, root: str, here: str, inherited: list[tuple[str, list[str]]]) -> tuple[list[str], list[tuple[str, str, os.stat_result]], list[tuple[str, list[str]]]]:
+        """(directories to enter, wanted files, ignore lines for what is below) of one directory.
+
+        A file is its path, the path below the root and its stat; ignore lines go with the directory they are of.
+        """
+        lines = list(inherited)
+        if self.respect_ignore:
+            names = [os.path.join(".git", "info", "exclude")] * (here == root) + list(self.ignore_names)
+            lines += [(here, found) for n in names if (found := _lines_at(os.path.join(here, n))) is not None]
+        rules = [(base, IgnoreRules(own)) for base, own in reversed(lines)]
         exclude = IgnoreRules(self.exclude)
-        levels: dict[str, list[tuple[str, IgnoreRules]]] = {}
-        for here, dirs, files in os.walk(root, followlinks=False):
-            own = list(levels.get(os.path.dirname(here), [])) if here != root else []
-            if self.respect_ignore:
-                names = [os.path.join(".git", "info", "exclude")] * (here == root) + list(self.ignore_names)
-                own += [(here, r) for n in names if (r := _rules_at(os.path.join(here, n)))]
-            levels[here] = own
-            dirs[:] = sorted(d for d in dirs if d not in SKIPPED_DIRECTORIES and not d.startswith(".") and not os.path.islink(os.path.join(here, d)))
-            for name in sorted(files):
-                path = os.path.join(here, name)
-                below = os.path.relpath(path, root)
-                if name.startswith(".") or os.path.islink(path) or (self.extensions and os.path.splitext(name)[1].lower() not in self.extensions):
-                    continue
-                verdicts = [exclude.check(below) or None, *[r.check(os.path.relpath(path, base)) for base, r in reversed(own)]]
-                if next((v for v in verdicts if v is not None), False):
-                    continue
-                try:
-                    stat = os.stat(path)
-                except OSError:
-                    continue
-                if 0 < stat.st_size <= self.max_size_kb * 1024:
-                    yield path, below, stat
+        dirs, files = [], []
+        try:
+            found = sorted(os.scandir(here), key=lambda e: e.name)
+        except OSError:
+            return [], [], lines
+        for entry in found:
+            if entry.name.startswith(".") or entry.is_symlink():
+                continue
+            if entry.is_dir(follow_symlinks=False):
+                if entry.name not in SKIPPED_DIRECTORIES:
+                    dirs.append(entry.path)
+                continue
+            below = os.path.relpath(entry.path, root)
+            if self.extensions and os.path.splitext(entry.name)[1].lower() not in self.extensions:
+                continue
+            verdicts = [exclude.check(below) or None, *[r.check(os.path.relpath(entry.path, base)) for base, r in rules]]
+            if next((v for v in verdicts if v is not None), False):
+                continue
+            try:
+                stat = os.stat(entry.path)
+            except OSError:
+                continue
+            if 0 < stat.st_size <= self.max_size_kb * 1024:
+                files.append((entry.path, below, stat))
+        return dirs, files, lines
+
+    def walk(self, root: str) -> Iterator[tuple[str, str, os.stat_result]]:
+        """(absolute path, path below the root, stat) of the wanted files of a tree on this machine."""
+        todo: list[tuple[str, list[tuple[str, list[str]]]]] = [(root, [])]
+        while todo:
+            dirs, files, lines = self.entries(root, *todo.pop())
+            yield from files
+            todo.extend((d, lines) for d in reversed(dirs))
+
+    def listed(self, spark: SparkSession, root: str) -> DataFrame:
+        """(path, relative_path, size, mtime) of the wanted files, listed level by level by the executors.
+
+        They all have to see the tree under the same path. A level's directories are spread over the tasks,
+        with the ignore lines that hold for them; the driver only learns whether there is another level.
+        """
+        own = self
+        schema = pa.schema([("path", pa.string()), ("relative_path", pa.string()), ("size", pa.int64()), ("mtime", pa.float64()), ("lines", pa.string())])
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = []
+                for here, inherited in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    dirs, files, lines = own.entries(root, here, json.loads(inherited))
+                    rows += [(p, below, s.st_size, s.st_mtime, None) for p, below, s in files] + [(d, None, None, None, json.dumps(lines)) for d in dirs]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+        tasks = spark.sparkContext.defaultParallelism
+        level = spark.createDataFrame([(root, "[]")], "path string, lines string")
+        out = None
+        while True:
+            found = cut_lineage(level.mapInArrow(scan, "path string, relative_path string, size long, mtime double, lines string"))
+            files = found.filter("lines IS NULL").drop("lines")
+            out = files if out is None else out.unionByName(files)
+            level = found.filter("lines IS NOT NULL").select("path", "lines")
+            if level.isEmpty():
+                return out
+            level = level.repartition(tasks)
 
     def metadata(self, spark: SparkSession, root: str) -> DataFrame:
         """(relative_path, size, mtime) without reading any content."""
-        rows = [(below, s.st_size, s.st_mtime) for _, below, s in self.walk(root)]
-        return spark.createDataFrame(rows, "relative_path string, size long, mtime double")
+        return self.listed(spark, root).drop("path")
 
     def discover(self, spark: SparkSession, root: str) -> DataFrame:
         """(path, relative_path, size, mtime, content_hash, content, lines) of the wanted files, read by the executors."""
-        rows = [(path, below, s.st_size, s.st_mtime) for path, below, s in self.walk(root)]
-        listed = spark.createDataFrame(rows, "path string, relative_path string, size long, mtime double")
-        return with_content(listed)
+        return with_content(self.listed(spark, root).repartition(spark.sparkContext.defaultParallelism))
 
 
 def with_content(listed: DataFrame) -> DataFrame:
@@ -168,9 +217,7 @@ def change_set(indexed: DataFrame, seen: DataFrame) -> DataFrame:
 
 def changes_of_tree(indexed: DataFrame, root: str, discovery: Discovery) -> DataFrame:
     """change_set of a tree on disk; only new files and those whose metadata differs are read."""
-    spark = indexed.sparkSession
-    rows = [(below, path, s.st_size, s.st_mtime) for path, below, s in discovery.walk(root)]
-    listed = spark.createDataFrame(rows, "relative_path string, path string, size long, mtime double")
+    listed = discovery.listed(indexed.sparkSession, root)
     old = indexed.select(F.col("path").alias("relative_path"), F.col("mtime").alias("m"), F.col("size").alias("s"), F.col("content_hash").alias("h"))
     joined = listed.join(old, "relative_path", "left")
     suspect = F.col("h").isNull() | ~F.col("mtime").eqNullSafe(F.col("m")) | ~F.col("size").eqNullSafe(F.col("s")) | (F.col("m") == 0)
