@@ -9,6 +9,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
 #: The pre-tokenizing pattern that belongs to the byte-level BPE vocabularies (fixed value).
@@ -44,12 +45,18 @@ def count_tokens(text: str, path: str = VOCABULARY, slice_: int = SLICE) -> int:
 
 
 def token_counts(df: DataFrame, id_col: str, text_col: str, path: str = VOCABULARY) -> DataFrame:
-    """(id, tokens): the number of tokens of each text; 0 for null and empty ones. One row per row."""
+    """(id, tokens): the number of tokens of each text; 0 for null and empty ones. One row per row.
+
+    The vocabulary file is read on the driver's machine and sent to the executors.
+    """
     schema = pa.schema([("id", pa.int64()), ("tokens", pa.int64())])
+    df.sparkSession.sparkContext.addFile(path)
+    name = os.path.basename(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here = SparkFiles.get(name)
         for batch in batches:
-            counts = [count_tokens(t, path) if t else 0 for t in batch.column(1).to_pylist()]
+            counts = [count_tokens(t, here) if t else 0 for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(counts, pa.int64())], schema=schema)
 
     return df.select(id_col, text_col).mapInArrow(run, "id long, tokens long")
