@@ -114,17 +114,16 @@ def ensure_generation(store: Store, name: str, identity: EmbeddingIdentity, rebu
         return there
     old = store.read(name)
     canonical = old.filter(~is_derived()) if "fragment" in old.columns else old
-    made = rebuild(canonical)
-    candidate = f"{name}__candidate"
-    store.drop(candidate)
-    store.publish(candidate, made)
-    written = store.read(candidate)
-    kept = written.filter(~is_derived()) if "fragment" in written.columns else written
-    if kept.count() != canonical.count():
-        raise ValueError("the rebuilt generation has another number of points")
-    if "fragment" in written.columns:
-        verified(written)
-    own = {k: v for k, v in store.metadata(name).items() if k != "identity"}
-    version = store.publish(name, written, own | {"identity": identity.to_dict()})
-    store.drop(candidate)
+    version = store.stage(name, rebuild(canonical))
+    try:
+        written = store.staged(name, version)
+        kept = written.filter(~is_derived()) if "fragment" in written.columns else written
+        if kept.count() != canonical.count():
+            raise ValueError("the rebuilt generation has another number of points")
+        if "fragment" in written.columns:
+            verified(written)
+    except Exception:
+        store.unstage(name, version)
+        raise
+    store.switch(name, version, store.metadata(name) | {"identity": identity.to_dict()})
     return Generation(name, version, identity, there is not None)

@@ -120,6 +120,22 @@ class Store:
             return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
         return self.spark.read.parquet(f"{self.root}/{name}/{self._manifest(name)['version']}" + (f"/{part}" if part else ""))
 
+    def stage(self, name: str, df: DataFrame) -> str:
+        """Writes `df` as a version that nobody reads until `switch` makes it the current one."""
+        version = f"v-{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.root}/{name}/{version}")
+        return version
+
+    def staged(self, name: str, version: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/{name}/{version}")
+
+    def switch(self, name: str, version: str, metadata: dict[str, Any] | None = None) -> None:
+        """Makes a staged version the current one; its metadata is exactly the given one."""
+        self._write(f"{self.root}/{name}/CURRENT", json.dumps({"version": version, "metadata": metadata or {}}))
+
+    def unstage(self, name: str, version: str) -> None:
+        self._fs.delete(self._path(f"{self.root}/{name}/{version}"), True)
+
     def publish(self, name: str, df: DataFrame, metadata: dict[str, Any] | None = None, partition_by: list[str] | None = None) -> str:
         """Writes `df` as the next version and makes it the current one; metadata carries over unless given."""
         old = json.loads(self._read(f"{self.root}/{name}/CURRENT") or "{}")
