@@ -190,16 +190,16 @@ def _gram_filter(items: DataFrame, text_col: str, most_bits: int) -> tuple[bytes
 
 
 def _keyed(windows: DataFrame, width: int, name: str) -> DataFrame:
-    """(key, name) of the distinct windows: one row per table."""
+    """(key, name) of distinct windows (name, w): one row per table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                keys = walks(_matrix(batch.column(0), width))
+                keys = walks(_matrix(batch.column(1), width))
                 row = pa.array(np.repeat(np.arange(len(keys)), keys.shape[1]))
                 yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), batch.column(0).take(row)], names=["key", name])
 
-    return windows.select("w").distinct().mapInArrow(run, f"key long, {name} binary")
+    return windows.select(name, "w").mapInArrow(run, f"key long, {name} long")
 
 
 def leaked_items(
@@ -245,8 +245,12 @@ def leaked_items(
                 good = pa.array(np.flatnonzero(away <= edits))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(good), batch.column(1).take(good), pa.array(away[away <= edits].astype(np.int32))], names=["wd", "wi", "edits"])
 
-    met = salted_join(_keyed(in_docs.withColumnRenamed("wd", "w"), window, "wd"), _keyed(in_items.withColumnRenamed("wi", "w"), window, "wi"), ["key"], ["wd"], hot_rows)
-    pairs = met.select("wd", "wi").mapInArrow(verify, "wd binary, wi binary, edits int").groupBy("wd", "wi").agg(F.min("edits").alias("edits"))
+    # Keys travel with a number for their window; should two windows share one, both are verified.
+    of_docs = in_docs.select("wd", F.xxhash64("wd").alias("d")).distinct()
+    of_texts = in_items.select("wi", F.xxhash64("wi").alias("i")).distinct()
+    keys = cut_lineage(_keyed(of_docs.withColumnRenamed("wd", "w"), window, "d"))
+    met = salted_join(keys, _keyed(of_texts.withColumnRenamed("wi", "w"), window, "i"), ["key"], ["d"], hot_rows).select("d", "i").distinct()
+    pairs = met.join(of_docs, "d").join(of_texts, "i").select("wd", "wi").mapInArrow(verify, "wd binary, wi binary, edits int")
     of_items = in_items.groupBy(F.col("id").alias("item_id"), "wi").agg(F.count(F.lit(1)).alias("times"))
     of_windows = salted_join(of_items, pairs, ["wi"], ["item_id"], hot_rows).groupBy("wd", "item_id", "edits").agg(F.sum("times").alias("times"))
     hits = salted_join(in_docs.withColumnRenamed("id", "doc_id"), of_windows, ["wd"], ["doc_id", "pos"], hot_rows)
