@@ -13,7 +13,8 @@ from loomspark.config import DEFAULTS
 from loomspark.functions.text import tokens
 from loomspark.operators import vocabulary as voc
 from loomspark.operators.fusion import reciprocal_rank_fusion
-from loomspark.operators.scoring import dense_scores, dense_top_k_many, sparse_scores, sparse_top_k, top_k
+from loomspark.operators.scoring import dense_scores, dense_top_k_many, sparse_scores, sparse_top_k, sparse_top_k_many, top_k
+from loomspark.operators.tfidf import packed
 from loomspark.session import cut_lineage, shared_dir
 from loomspark.sources.tables import Store
 
@@ -23,13 +24,19 @@ EQUAL = 0.001
 
 @dataclass
 class SearchIndex:
-    """A vocabulary and the postings of a table of documents, written once and read by every search.
+    """A vocabulary and the sparse vectors of a table of documents, written once and read by every search.
 
-    Postings lie in order of their index, so a scan for the indexes of a query passes over the other row groups.
+    A vector is one row (id, sparse), so many queries are scored in one pass that moves nothing but results.
     """
 
     state: voc.State
-    postings: DataFrame
+    vectors: DataFrame
+
+    @property
+    def postings(self) -> DataFrame:
+        """(doc_id, idx, tf): the vectors, one row an index."""
+        each = self.vectors.select(F.col("id").alias("doc_id"), F.explode(F.arrays_zip("sparse.indices", "sparse.values")).alias("p"))
+        return each.select("doc_id", F.col("p.indices").alias("idx"), F.col("p.values").alias("tf"))
 
     @property
     def vocabulary(self) -> DataFrame:
@@ -44,14 +51,13 @@ class SearchIndex:
         state = voc.register(voc.empty(docs.sparkSession), frequencies, voc.corpus_sizes(docs, codebase), check=False)
         vocabulary = cut_lineage(state.vocabulary)
         postings = counts.join(vocabulary.select("token", "idx"), "token").select("doc_id", "idx", (1 + F.log("count")).alias("tf"))
-        parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-        ordered = postings.repartitionByRange(parts, "idx", "doc_id").sortWithinPartitions("idx")
-        store.publish_parts(name, {"vocabulary": vocabulary, "contributions": state.contributions, "doc_counts": state.doc_counts, "postings": ordered})
+        vectors = packed(postings, "doc_id", "tf").withColumnRenamed("doc_id", "id")
+        store.publish_parts(name, {"vocabulary": vocabulary, "contributions": state.contributions, "doc_counts": state.doc_counts, "vectors": vectors})
         return cls.open(store, name)
 
     @classmethod
     def open(cls, store: Store, name: str) -> SearchIndex:
-        return cls(voc.State(*[store.read(name, part) for part in ("vocabulary", "contributions", "doc_counts")]), store.read(name, "postings"))
+        return cls(voc.State(*[store.read(name, part) for part in ("vocabulary", "contributions", "doc_counts")]), store.read(name, "vectors"))
 
     @classmethod
     def of(cls, spark: SparkSession, source: str, docs: Callable[[], DataFrame]) -> SearchIndex:
@@ -64,6 +70,13 @@ class SearchIndex:
         return voc.query_vectors(self.state, queries, **options)
 
 
+def _sparse_best(postings: DataFrame, queries: DataFrame, k: int, allowed: DataFrame | None) -> DataFrame:
+    """The `k` best points per query, over postings (doc_id, idx, tf) or over vectors (id, sparse)."""
+    if "sparse" not in postings.columns:
+        return sparse_top_k(postings, queries, k, allowed=allowed)
+    return sparse_top_k_many(postings if allowed is None else postings.join(allowed, "id", "left_semi"), queries, k)
+
+
 def _dense_scores(points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return dense_top_k_many(points, queries, k).select("query_id", "id", "score", "rank")
 
@@ -82,7 +95,8 @@ def hybrid_search(
 ) -> DataFrame:
     """(query_id, id, score, rank) for tables of dense (query_id, dense) and sparse (query_id, idx, weight) queries.
 
-    `points` is (id, dense, ...), `postings` (doc_id, idx, tf). A branch without weight isn't run, and the
+    `points` is (id, dense, ...), `postings` (doc_id, idx, tf), or the vectors (id, sparse) of an index, over
+    which many queries are faster. A branch without weight isn't run, and the
     other one's raw scores are the result. Otherwise each branch gives its `prefetch` best, and reciprocal
     ranks with the weights decide; nearly equal weights count as 1 each. `where` filters the points of
     both branches before anything is chosen. A prefetch of 0 means the default; two weights of 0 are an error.
@@ -93,12 +107,12 @@ def hybrid_search(
     own = points if where is None else points.filter(where)
     allowed = None if where is None else own.select("id")
     if dense_weight <= 0 < sparse_weight:
-        return sparse_top_k(postings, sparse_queries, limit, allowed=allowed)
+        return _sparse_best(postings, sparse_queries, limit, allowed)
     if sparse_weight <= 0 < dense_weight:
         return _dense_scores(own, dense_queries, limit)
     weights = [1.0, 1.0] if abs(dense_weight - sparse_weight) < EQUAL else [dense_weight, sparse_weight]
     dense = _dense_scores(own, dense_queries, prefetch).select("query_id", F.lit(0).alias("list_id"), "rank", F.col("id").alias("key"))
-    sparse = sparse_top_k(postings, sparse_queries, prefetch, allowed=allowed).select("query_id", F.lit(1).alias("list_id"), "rank", F.col("id").alias("key"))
+    sparse = _sparse_best(postings, sparse_queries, prefetch, allowed).select("query_id", F.lit(1).alias("list_id"), "rank", F.col("id").alias("key"))
     fused = reciprocal_rank_fusion(dense.unionByName(sparse), rrf_k, weights, limit, lists=2)
     return fused.select("query_id", F.col("key").alias("id"), "score", "rank")
 
@@ -141,7 +155,11 @@ def grouped_search(
         scored = dense_scores(own, dense_queries, n, carry=group).withColumnRenamed("carry", "group")
         parts.append((0, dense_weight, best_per_group(scored, n)))
     if sparse_weight > 0:
-        parts.append((1, sparse_weight, best_per_group(sparse_scores(postings, sparse_queries).join(groups, "id"), n)))
+        if "sparse" in postings.columns:
+            scored = sparse_top_k_many(postings.join(groups, "id"), sparse_queries, n, carry="group").withColumnRenamed("carry", "group")
+        else:
+            scored = sparse_scores(postings, sparse_queries).join(groups, "id")
+        parts.append((1, sparse_weight, best_per_group(scored, n)))
     if not parts:
         return points.sparkSession.createDataFrame([], "query_id long, group string, id long, score double, rank int")
     hits = None

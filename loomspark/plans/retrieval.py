@@ -11,7 +11,7 @@ from loomspark.operators import vocabulary as voc
 from loomspark.operators.fusion import fuse_full_outer, reciprocal_rank_fusion
 from loomspark.operators.fuzzy import nearest_tokens
 from loomspark.operators.lexical import lexical_rank
-from loomspark.operators.scoring import dense_top_k_many, sparse_top_k
+from loomspark.operators.scoring import dense_top_k_many, sparse_top_k, sparse_top_k_many
 from loomspark.operators.search import SearchIndex, grouped_search, hybrid_search
 from loomspark.operators.tfidf import TfidfModel
 from loomspark.session import spread
@@ -242,23 +242,29 @@ def dense_topk_all_queries(spark, sf):
 
 def _sparse(spark, sf):
     index = search_index(spark, sf)
-    return index.postings, index.query_vectors(query_texts(spark, sf), fuzzy=False)
+    return index.vectors, index.query_vectors(query_texts(spark, sf), fuzzy=False)
 
 
 def sparse_topk(spark, sf):
-    return sparse_top_k(*_sparse(spark, sf), 10).select("query_id", "id", "rank", _q6("score"))
+    return sparse_top_k_many(*_sparse(spark, sf), 10).select("query_id", "id", "rank", _q6("score"))
+
+
+def sparse_topk_join(spark, sf):
+    """As sparse_topk, by a join of postings and query on their index."""
+    index = search_index(spark, sf)
+    return sparse_top_k(index.postings, index.query_vectors(query_texts(spark, sf), fuzzy=False), 10).select("query_id", "id", "rank", _q6("score"))
 
 
 def sparse_topk_filtered(spark, sf):
     allowed = docs(spark, sf).filter("lang = 'en'").select(F.col("doc_id").alias("id"))
-    return sparse_top_k(*_sparse(spark, sf), 10, allowed=allowed).select("query_id", "id", "rank", _q6("score"))
+    vectors, asked = _sparse(spark, sf)
+    return sparse_top_k_many(vectors.join(allowed, "id", "left_semi"), asked, 10).select("query_id", "id", "rank", _q6("score"))
 
 
 def _hybrid(spark, sf, **options):
-    postings, asked = _sparse(spark, sf)
+    vectors, asked = _sparse(spark, sf)
     own = points(spark, sf)
-    postings = postings.join(own.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-    return hybrid_search(own, postings, dense_queries(spark, sf), asked, **options).select("query_id", "id", "rank", _q6("score"))
+    return hybrid_search(own, vectors.join(own.select("id"), "id", "left_semi"), dense_queries(spark, sf), asked, **options).select("query_id", "id", "rank", _q6("score"))
 
 
 def hybrid_weighted(spark, sf):
@@ -282,8 +288,8 @@ def hybrid_filtered(spark, sf):
 
 
 def hybrid_grouped(spark, sf):
-    postings, asked = _sparse(spark, sf)
-    return grouped_search(points(spark, sf), postings, dense_queries(spark, sf), asked, "source").select("query_id", "group", "id", "rank", _q6("score"))
+    vectors, asked = _sparse(spark, sf)
+    return grouped_search(points(spark, sf), vectors, dense_queries(spark, sf), asked, "source").select("query_id", "group", "id", "rank", _q6("score"))
 
 
 def _ranked_results(spark, sf):
@@ -320,7 +326,7 @@ QUERIES = {
         collection_names, fact_texts, parse_iso_times, clamp_limits, doc_freq_fit, vocab_extend, tfidf_vectors, codebase_frequencies, vocab_register, vocab_unregister,
         vocab_incremental, vocab_rebuild, vocab_codebase_ids, vocab_lost_counts, vocab_stats, vocab_totals, index_to_token, tf_vectors, idf_query, fuzzy_tokens,
         dense_topk, dense_topk_filtered, dense_topk_all_queries, sparse_topk, sparse_topk_filtered, hybrid_weighted, hybrid_equal, hybrid_grouped, rrf_three_lists, fuse_two_lists, lexical_topk,
-        idf_query_fuzzy, hybrid_sparse_only, hybrid_dense_only, hybrid_filtered,
+        idf_query_fuzzy, hybrid_sparse_only, hybrid_dense_only, hybrid_filtered, sparse_topk_join,
     )
 }
 
@@ -479,3 +485,4 @@ c AS (SELECT doc_id, lower(term) AS term, count(*) AS n FROM i GROUP BY 1, 2),
 s AS (SELECT query_id, doc_id AS id, sum(least(n, 5) * asked) / any_value(CAST(total AS DOUBLE)) AS score FROM c JOIN a ON c.term = a.term GROUP BY 1, 2)
 SELECT query_id, id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, CAST(id AS VARCHAR)) AS rank FROM s) WHERE rank <= 10""",
 }
+SQL["sparse_topk_join"] = SQL["sparse_topk"]
