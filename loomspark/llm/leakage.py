@@ -171,7 +171,7 @@ def _gram_filter(items: DataFrame, text_col: str, most_bits: int) -> tuple[bytes
     Executors set the bits, and the driver gets at most 2 ** most_bits of them, whatever the items are.
     """
     size = items.agg(F.coalesce(F.sum(F.length(text_col)), F.lit(0))).first()[0]
-    bits = min(most_bits, max(LEAST_BITS, int(size).bit_length() + 3))
+    bits = min(most_bits, max(LEAST_BITS, int(size).bit_length() + 2))
     schema = pa.schema([("slot", pa.int64()), ("bits", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +183,9 @@ def _gram_filter(items: DataFrame, text_col: str, most_bits: int) -> tuple[bytes
                 yield pa.RecordBatch.from_arrays([pa.array(slots.astype(np.int64)), pa.array(set_.view(np.int64))], schema=schema)
 
     own = items.select(F.lit(0).cast("long"), text_col).filter(F.length(text_col) > 0)
-    table = own.mapInArrow(run, "slot long, bits long").groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
+    table = own.mapInArrow(run, "slot long, bits long").groupBy("slot").agg(F.bit_or("bits").alias("bits"))
+    # No task sends more than a few hundred kilobytes.
+    table = table.repartition(max(1, (1 << (bits - 6)) // 16_384)).toArrow()
     out = np.zeros(1 << (bits - 6), np.int64)
     out[table.column("slot").to_numpy()] = table.column("bits").to_numpy()
     return out.tobytes(), bits
