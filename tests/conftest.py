@@ -14,7 +14,7 @@ def spark(tmp_path_factory):
     s = build_session(
         "tests", "local[4]", **{
             "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.driver.memory": "4g", "spark.checkpoint.dir": str(shared),
-            "spark.sql.adaptive.coalescePartitions.enabled": "true", "spark.driver.bindAddress": "127.0.0.1",
+            "spark.sql.adaptive.coalescePartitions.enabled": "true", "spark.driver.bindAddress": "127.0.0.1", "spark.driver.host": "127.0.0.1",
         }
     )
     s.sparkContext.setLogLevel("ERROR")
