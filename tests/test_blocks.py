@@ -9,6 +9,7 @@ import pytest
 
 from loomspark.operators import blocks
 from loomspark.operators.lexical import lexical_rank
+from loomspark.plans.core import QUERIES
 
 SMALL = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
@@ -85,3 +86,16 @@ def test_blocks_are_bounded():
 def test_sums_beyond_53_bits_are_whole():
     block = blocks.Block(np.array([0, 1]), np.array([0, 0]), np.array([1, 1]), 2, 1)
     assert block.scores(np.array([0, 0]), np.array([0, 1]), np.array([2**60, 2**60 + 2**10]), 1)[0, 0] == float(2**61 + 2**10)
+
+
+def test_glossary_moves_only_the_best(spark, tmp_path):
+    """3,000 parts of six names, each of the 30 queries shares a word with half of them; ties go by id."""
+    names = [f"{a} {b}" for a in ("hot", "blue") for b in ("ring", "bolt", "wheel")]
+    parts = [(i, names[i % 7 % 6], f"TYPE {i % 5}") for i in range(3000)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    out = []
+    assert moved(spark, lambda: out.extend(QUERIES["glossary_search"](spark, str(tmp_path)).collect())) < 25_000
+    score = lambda i, name: sum(min(5, 3 * (w in parts[i][1].split())) for w in name.split())
+    best = {(q, f"g{i}", r + 1) for q, name, _ in parts[::100] for r, i in enumerate(sorted(range(3000), key=lambda i: (-score(i, name), f"g{i}"))[:5])}
+    assert {(r["query_id"], r["id"], r["rank"]) for r in out} == best
+    assert all(r["term"] == f"{parts[int(r['id'][1:])][1]} {r['id'][1:]}" and r["expansion"] == parts[int(r["id"][1:])][2] for r in out)
