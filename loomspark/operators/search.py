@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomspark.config import DEFAULTS
 from loomspark.functions.text import tokens
@@ -20,6 +24,64 @@ from loomspark.sources.tables import Store
 
 #: Weights closer than this count as equal (fixed value).
 EQUAL = 0.001
+#: A vocabulary of at most so many tokens goes to the tasks that write the vectors of an index; a larger one is joined.
+SENT_TOKENS = 1_000_000
+
+
+def _positions(lists: pa.ListArray) -> np.ndarray:
+    """The row of each element of a column of arrays."""
+    return np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+
+
+def _arrays(rows: np.ndarray, values: pa.Array, n: int) -> pa.ListArray:
+    """A column of `n` arrays from values and their rows, in order of the rows."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(rows, np.arange(n + 1)).astype(np.int32)), values)
+
+
+def counted(each: DataFrame, column: str = "tokens") -> DataFrame:
+    """`each` with the distinct tokens of an array column, and `counts`; nothing is moved."""
+    others = [c for c in each.columns if c != column]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(len(others))
+            found = lists.flatten().dictionary_encode()
+            if not batch.num_rows or not len(found):
+                continue
+            n = len(found.dictionary)
+            both, counts = np.unique(_positions(lists) * n + found.indices.to_numpy(zero_copy_only=False), return_counts=True)
+            rows = both // n
+            tokens = _arrays(rows, found.dictionary.take(pa.array(both % n)), batch.num_rows)
+            out = [*batch.columns[: len(others)], tokens, _arrays(rows, pa.array(counts.astype(np.int64)), batch.num_rows)]
+            yield pa.RecordBatch.from_arrays(out, [*others, column, "counts"])
+
+    own = each.select(*others, column)
+    return own.mapInArrow(run, T.StructType([*own.schema.fields, T.StructField("counts", T.ArrayType(T.LongType()))])).filter(F.size(column) > 0)
+
+
+def indexed(each: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(id, sparse struct<indices, values>) of (id, tokens, counts): indexes ascending, values 1 + ln(count)."""
+    if vocabulary.count() > SENT_TOKENS:
+        pairs = each.select("id", F.explode(F.arrays_zip("tokens", "counts")).alias("p")).select("id", F.col("p.tokens").alias("token"), F.col("p.counts").alias("count"))
+        return packed(pairs.join(vocabulary.select("token", "idx"), "token").select("id", "idx", (1 + F.log("count")).alias("tf")), "id", "tf")
+    known = vocabulary.select("token", "idx").toArrow().combine_chunks()
+    shared = each.sparkSession.sparkContext.broadcast([known.column(c).combine_chunks() for c in ("token", "idx")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, idx = shared.value
+        idx = idx.to_numpy(zero_copy_only=False)
+        for batch in batches:
+            at = pc.index_in(batch.column(1).flatten(), value_set=tokens).fill_null(-1).to_numpy(zero_copy_only=False)
+            rows, own = _positions(batch.column(1)), np.where(at >= 0, idx[at], -1)
+            order = np.lexsort((own, rows))
+            order = order[own[order] >= 0]
+            rows, n = rows[order], batch.num_rows
+            counts = pa.array(batch.column(2).flatten().to_numpy(zero_copy_only=False)[order])
+            yield pa.RecordBatch.from_arrays([batch.column(0), _arrays(rows, pa.array(own[order]), n), _arrays(rows, counts, n)], ["id", "indices", "counts"])
+
+    own = each.select("id", "tokens", "counts")
+    out = own.mapInArrow(run, T.StructType([own.schema["id"], T.StructField("indices", T.ArrayType(T.LongType())), T.StructField("counts", T.ArrayType(T.LongType()))]))
+    return out.select("id", F.struct("indices", F.transform("counts", lambda c: 1 + F.log(c)).alias("values")).alias("sparse"))
 
 
 @dataclass
@@ -44,15 +106,26 @@ class SearchIndex:
 
     @classmethod
     def build(cls, store: Store, name: str, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", codebase: str = "source") -> SearchIndex:
-        """Writes the index of `docs` as a version of a collection. Each text is tokenized once."""
-        each = docs.select(F.col(codebase).alias("codebase_id"), F.col(doc_id).alias("doc_id"), F.explode(tokens(text)).alias("token"))
-        counts = cut_lineage(each.groupBy("codebase_id", "doc_id", "token").agg(F.count(F.lit(1)).alias("count")))
-        frequencies = counts.groupBy("codebase_id", "token").agg(F.count(F.lit(1)).alias("doc_freq"))
-        state = voc.register(voc.empty(docs.sparkSession), frequencies, voc.corpus_sizes(docs, codebase), check=False)
+        """Writes the index of `docs` as a version of a collection. Each text is tokenized once.
+
+        A text is one row throughout; only its counts are written in between, and the numbers of texts per token
+        are all that is moved. Rows of the same corpus and id count as one text.
+        """
+        each = docs.select(F.col(codebase).alias("codebase_id"), F.col(doc_id).alias("id"), tokens(text).alias("tokens"))
+        repeated = docs.groupBy(F.col(doc_id).alias("id")).count().filter("count > 1").limit(1).count() > 0
+        if repeated:
+            each = each.groupBy("codebase_id", "id").agg(F.flatten(F.collect_list("tokens")).alias("tokens"))
+        version = store.stage(name, counted(each))
+        counts = store.staged(name, version)
+        frequencies = counts.select("codebase_id", F.explode("tokens").alias("token")).groupBy("codebase_id", "token").agg(F.count(F.lit(1)).alias("doc_freq"))
+        state = voc.register(voc.empty(docs.sparkSession), cut_lineage(frequencies), voc.corpus_sizes(docs, codebase), check=False)
         vocabulary = cut_lineage(state.vocabulary)
-        postings = counts.join(vocabulary.select("token", "idx"), "token").select("doc_id", "idx", (1 + F.log("count")).alias("tf"))
-        vectors = packed(postings, "doc_id", "tf").withColumnRenamed("doc_id", "id")
+        vectors = indexed(counts, vocabulary)
+        if repeated:
+            pairs = F.array_sort(F.flatten(F.collect_list(F.arrays_zip("sparse.indices", "sparse.values"))))
+            vectors = vectors.groupBy("id").agg(pairs.alias("p")).select("id", F.struct(F.col("p.indices").alias("indices"), F.col("p.values").alias("values")).alias("sparse"))
         store.publish_parts(name, {"vocabulary": vocabulary, "contributions": state.contributions, "doc_counts": state.doc_counts, "vectors": vectors})
+        store.unstage(name, version)
         return cls.open(store, name)
 
     @classmethod

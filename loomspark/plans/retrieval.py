@@ -250,9 +250,9 @@ def sparse_topk(spark, sf):
 
 
 def sparse_topk_join(spark, sf):
-    """As sparse_topk, by a join of postings and query on their index."""
+    """As sparse_topk, by one pass over the vectors for thousands of queries at once."""
     index = search_index(spark, sf)
-    return sparse_top_k(index.postings, index.query_vectors(query_texts(spark, sf), fuzzy=False), 10).select("query_id", "id", "rank", _q6("score"))
+    return sparse_top_k(index.vectors, index.query_vectors(query_texts(spark, sf), fuzzy=False), 10).select("query_id", "id", "rank", _q6("score"))
 
 
 def sparse_topk_filtered(spark, sf):

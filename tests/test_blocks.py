@@ -1,5 +1,6 @@
 """Searches by blocks: what they find is what a loop over all pairs finds, and what they move doesn't grow with the pairs."""
 
+import math
 import random
 import re
 from collections import Counter
@@ -7,9 +8,14 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from loomspark.operators import blocks
+from loomspark.operators import blocks, search
+from loomspark.operators.blocks import distinct_queries
 from loomspark.operators.lexical import lexical_rank
+from loomspark.operators.scoring import sparse_top_k
+from loomspark.operators.search import SearchIndex
+from loomspark.operators.tfidf import packed
 from loomspark.plans.core import QUERIES
+from loomspark.sources.tables import Store
 
 SMALL = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
@@ -99,3 +105,62 @@ def test_glossary_moves_only_the_best(spark, tmp_path):
     best = {(q, f"g{i}", r + 1) for q, name, _ in parts[::100] for r, i in enumerate(sorted(range(3000), key=lambda i: (-score(i, name), f"g{i}"))[:5])}
     assert {(r["query_id"], r["id"], r["rank"]) for r in out} == best
     assert all(r["term"] == f"{parts[int(r['id'][1:])][1]} {r['id'][1:]}" and r["expansion"] == parts[int(r["id"][1:])][2] for r in out)
+
+
+def expected_sparse(postings, queries, k):
+    scores = {}
+    for q, idx, w in queries:
+        for d, i, tf in postings:
+            if i == idx:
+                scores.setdefault(q, Counter())[d] += math.floor(tf * w * 1e9 + 0.5)
+    return {(q, d, s / 1e9, r + 1) for q, own in scores.items() for r, (d, s) in enumerate(sorted(own.items(), key=lambda x: (-x[1], x[0]))[:k])}
+
+
+@pytest.mark.parametrize("common", [1 / 20, 2.0])
+def test_sparse_against_a_loop(spark, small_batches, monkeypatch, common):
+    """Several weights of an index, repeated rows, products of 0 and below, equal points, more blocks than one."""
+    monkeypatch.setattr(blocks, "COMMON", common)
+    monkeypatch.setattr(distinct_queries, "__defaults__", (7, 60))
+    draw = random.Random(7)
+    postings = [(d, draw.randrange(12), draw.choice([0.0, 0.5, 1 + math.log(3), -1.0])) for d in range(500) for _ in range(draw.randrange(6))]
+    queries = [(q, draw.randrange(14), draw.choice([0.3, 2 / 3, -0.25])) for q in range(40) for _ in range(draw.randrange(1, 7))]
+    own = spark.createDataFrame(postings, "doc_id long, idx long, tf double").repartition(3)
+    asked = spark.createDataFrame(queries, "query_id long, idx long, weight double")
+    found = lambda df: {tuple(r) for r in df.select("query_id", "id", "score", "rank").collect()}
+    assert found(sparse_top_k(own, asked, 5)) == expected_sparse(postings, queries, 5)
+    allowed = spark.createDataFrame([(i,) for i in range(0, 500, 3)], "id long")
+    for table in (own, packed(own, "doc_id", "tf").withColumnRenamed("doc_id", "id")):
+        assert found(sparse_top_k(table, asked, 5, allowed=allowed)) == expected_sparse([p for p in postings if p[0] % 3 == 0], queries, 5)
+
+
+def test_sparse_moves_only_the_best(spark):
+    """2,000 points share an index with each of 50 different queries."""
+    points = spark.createDataFrame([(i, ([1, 2 + i], [1.0, 2.0])) for i in range(2000)], "id long, sparse struct<indices: array<long>, values: array<double>>")
+    postings = points.selectExpr("id AS doc_id", "explode(arrays_zip(sparse.indices, sparse.values)) AS p").selectExpr("doc_id", "p.indices AS idx", "p.values AS tf")
+    asked = spark.createDataFrame([(q, i, 1.5) for q in range(50) for i in (1, 2 + q)], "query_id long, idx long, weight double")
+    assert moved(spark, lambda: sparse_top_k(postings, asked, 3).collect()) < 20_000
+    assert moved(spark, lambda: sparse_top_k(points, asked, 3).collect()) < 2_000
+
+
+def indexed_texts(index):
+    names = dict(index.vocabulary.select("idx", "token").collect())
+    vectors = [(r["id"], sorted((names[i], v) for i, v in zip(*r["sparse"]))) for r in index.vectors.collect()]
+    assert all(list(r["sparse"]["indices"]) == sorted(r["sparse"]["indices"]) for r in index.vectors.collect())
+    return sorted(vectors), {r["token"]: r["doc_freq"] for r in index.vocabulary.collect()}
+
+
+@pytest.mark.parametrize("sent", [1_000_000, 0])
+def test_index_of_repeated_ids(spark, tmp_path, monkeypatch, sent):
+    """Rows of one id and corpus are one text; of two corpora two texts with one vector. A small vocabulary is sent, a large one joined."""
+    monkeypatch.setattr(search, "SENT_TOKENS", sent)
+    rows = [(1, "walrus otter", "a"), (1, "otter", "a"), (1, "otter heron", "b"), (2, "heron heron", "b"), (3, None, "b"), (4, "", "c")]
+    index = SearchIndex.build(Store(spark, str(tmp_path)), "i", spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    two = 1 + math.log(2)
+    assert indexed_texts(index) == ([(1, [("heron", 1.0), ("otter", 1.0), ("otter", two), ("walrus", 1.0)]), (2, [("heron", two)])], {"heron": 2, "otter": 2, "walrus": 1})
+
+
+def test_index_moves_counts_of_tokens_and_no_texts(spark, tmp_path):
+    """2,000 texts of 20 of 40 words in one corpus: a row per text and word is 40,000 rows each time."""
+    texts = [(i, " ".join(f"{c}{d}" for c in "abcdefgh" for d in "vwxyz" if (ord(c) * 7 + ord(d) * 3 + i) % 2), "s") for i in range(2000)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, source string")
+    assert moved(spark, lambda: SearchIndex.build(Store(spark, str(tmp_path)), "i", docs)) < 10_000
