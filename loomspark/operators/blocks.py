@@ -156,8 +156,10 @@ def add_points(best: Best, block: Block, keys: np.ndarray, rows: np.ndarray, col
     rows = place[rows]
     order = np.argsort(rows, kind="stable")
     rows, columns, values = rows[order], columns[order], values[order]
-    for at in range(0, len(keys), ROWS):
-        n = min(ROWS, len(keys) - at)
+    at = n = 0
+    while (at := at + n) < len(keys):
+        # Until something bounds what is worth keeping, nearly every pair is kept, so the first points are few.
+        n = min(ROWS if len(best.score) or at >= ROWS else 2 * best.k, ROWS, len(keys) - at)
         a, b = np.searchsorted(rows, [at, at + n])
         if a == b:
             continue
