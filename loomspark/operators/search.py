@@ -246,14 +246,17 @@ def grouped_search(
     return fused.join(stands, (fused["query_id"] == stands["query_id"]) & (fused["key"] == stands["group"])).select(fused["query_id"], "group", "id", "score", "rank")
 
 
-def hydrated(hits: DataFrame, canonical: DataFrame, key: str, columns: list[str], check: str | None = None) -> DataFrame:
+def hydrated(hits: DataFrame, canonical: DataFrame, key: str, columns: list[str], check: str | None = None, sent: bool = False) -> DataFrame:
     """`hits` with columns of the canonical rows, joined for the winners only.
 
     A hit without a canonical row, or whose `check` column differs from the row's, is an error: the index
-    and the table it was made from disagree.
+    and the table it was made from disagree. With `sent` the keys of the hits, which must be few, are sent to the
+    canonical rows, and only the rows of hits are moved.
     """
     own = canonical.select(F.col(key).alias("__key"), *[F.col(c).alias(f"__{c}") for c in {*columns, *([check] if check else [])}])
-    joined = hits.join(own, hits[key] == own["__key"], "left")
+    if sent:
+        own = own.join(F.broadcast(hits.select(F.col(key).alias("__hit")).distinct()), F.col("__key") == F.col("__hit"), "left_semi")
+    joined = hits.join(own, F.col(key) == F.col("__key"), "left")
     wrong = F.col("__key").isNull() | ((F.col(check) != F.col(f"__{check}")) if check else F.lit(False))
     error = F.raise_error(F.concat(F.lit("no valid parent for "), F.col(key).cast("string")))
     return joined.withColumn("__ok", F.when(wrong, error).otherwise(F.lit(None))).select(*hits.columns, *[F.col(f"__{c}").alias(c) for c in columns], "__ok").filter("__ok IS NULL").drop("__ok")

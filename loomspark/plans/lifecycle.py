@@ -21,7 +21,6 @@ from loomspark.operators import points as po
 from loomspark.operators import registry as re_
 from loomspark.operators import vocabulary as voc
 from loomspark.operators.lexical import lexical_rank
-from loomspark.operators.search import hydrated
 from loomspark.operators.tfidf import TfidfModel
 from loomspark.plans import knowledge, retrieval
 from loomspark.session import cut_lineage, in_time, shared_dir
@@ -345,8 +344,8 @@ def glossary_search(spark, sf):
     """The five best entries for the name of every hundredth part, with values of the entries."""
     entries, _ = knowledge._glossary(spark, sf)
     asked = _read(spark, sf, "part").filter("p_partkey % 100 = 0").select(F.col("p_partkey").alias("query_id"), F.col("p_name").alias("query"))
-    hits = lexical_rank(entries, asked, "id", "definition", title="term", limit=5).withColumnRenamed("key", "id")
-    return hydrated(hits, entries, "id", ["term", "expansion"]).select("query_id", "id", "rank", "term", "expansion")
+    hits = lexical_rank(entries, asked, "id", "definition", title="term", limit=5, columns=["term", "expansion"])
+    return hits.select("query_id", F.col("key").alias("id"), "rank", "term", "expansion")
 
 
 # Fragments.

@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from loomspark.operators import blocks, search
+from loomspark.operators import blocks, lexical, search
 from loomspark.operators.blocks import distinct_queries
 from loomspark.operators.lexical import lexical_rank
 from loomspark.operators.scoring import sparse_top_k
@@ -164,3 +164,46 @@ def test_index_moves_counts_of_tokens_and_no_texts(spark, tmp_path):
     texts = [(i, " ".join(f"{c}{d}" for c in "abcdefgh" for d in "vwxyz" if (ord(c) * 7 + ord(d) * 3 + i) % 2), "s") for i in range(2000)]
     docs = spark.createDataFrame(texts, "doc_id long, text string, source string")
     assert moved(spark, lambda: SearchIndex.build(Store(spark, str(tmp_path)), "i", docs)) < 10_000
+
+
+@pytest.fixture
+def large_tables(spark):
+    """Nothing counts as small enough to be sent on its own account."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_glossary_moves_keys_and_no_entries(spark, tmp_path, large_tables):
+    """Of 6,000 parts the keys are moved once, to find repeated ones; of the entries only those that are hit."""
+    parts = [(i, f"{('hot', 'blue', 'old')[i % 3]} ring", "T") for i in range(6000)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    out = []
+    assert moved(spark, lambda: out.extend(QUERIES["glossary_search"](spark, str(tmp_path)).collect())) < 9_000
+    assert len(out) == 300 and all((r["term"], r["expansion"]) == (f"{parts[int(r['id'][1:])][1]} {r['id'][1:]}", "T") for r in out)
+
+
+@pytest.mark.parametrize("grouped", [10_000, 1])
+def test_lexical_columns_of_repeated_keys(spark, small_batches, monkeypatch, grouped):
+    """Each row of a hit's key with its own values, over several blocks and queries with the same words; few repeated keys and too many."""
+    monkeypatch.setattr(lexical, "REPEATED", grouped)
+    monkeypatch.setattr(lexical, "SPREAD", 3)
+    monkeypatch.setattr(distinct_queries, "__defaults__", (7, 60))
+    draw = random.Random(9)
+    items = [(i, words(draw, 2), words(draw, 5), f"v{i}") for i in range(300)] + [(i, words(draw, 2), words(draw, 5), f"again{i}") for i in (3, 3, 8, 100, 299)]
+    queries = [(i, words(draw, draw.choice([1, 2, 9]))) for i in range(30)] + [(i, "w0 w1 w1") for i in range(30, 40)]
+    own = spark.createDataFrame(items, "id long, title string, text string, value string").repartition(3)
+    got = lexical_rank(own, spark.createDataFrame(queries, "query_id long, query string"), "id", title="title", limit=4, columns=["value", "title"])
+    expected = {(*hit, v, title) for hit in expected_lexical([x[:3] for x in items], queries, 4) for k, title, _, v in items if k == hit[1]}
+    rows = [tuple(r) for r in got.select("query_id", "key", "score", "rank", "value", "title").collect()]
+    assert set(rows) == expected and len(rows) == len(expected)
+
+
+def test_lexical_groups_only_repeated_keys(spark):
+    """Of 3,000 items two share a key; the keys are moved, the words of the others aren't."""
+    items = spark.createDataFrame([(i, f"all own{i}") for i in range(3000)] + [(7, "all again")], "key long, text string")
+    queries = spark.createDataFrame([(1, "all again")], "query_id long, query string")
+    out = []
+    assert moved(spark, lambda: out.extend(lexical_rank(items, queries, limit=3).collect())) < 4_000
+    assert [(r["key"], r["score"]) for r in sorted(out, key=lambda r: r["rank"])] == [(7, 1.5), (0, 0.5), (1, 0.5)]
